@@ -138,7 +138,7 @@ def combine(own: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     by_host = strength(prior, n, t["hosts"], (t["hsq"] - t["s"] ** 2 / n) / n) if n else 1.0
     by_path = strength(prior, n, t["paths"], (t["psq"] - t["hsq"]) / n) if n else 1.0
     sites = paths.join(hosts.select("host", "hn", "hs"), "host")
-    if t["paths"] <= BROADCAST_SITES:
+    if (t["paths"] or 0) <= BROADCAST_SITES:
         sites = F.broadcast(sites)
     host_share = (F.col("hs") + F.lit(by_host * prior)) / (F.col("hn") + F.lit(by_host))
     # the document itself is left out of what its site says about it
