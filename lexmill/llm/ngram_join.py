@@ -11,7 +11,11 @@ hashes, and the blocks of a range meet.  There a pair must pass
 * the suffix filter: the sets' counts in four hash ranges (modulo 256, compared
   around the circle) bound their symmetric difference from below,
 
-and is taken at the first gram of each run of shared grams only.  Pairs are then
+and is taken at the first gram of each run of shared grams only.  Sets of
+``RUN_SIZE`` grams and more must share two grams that follow each other in the
+order: at the threshold, 0.7, a run has no shared neighbours anywhere in two
+prefixes of such sets with a probability of 1e-9, grams being in order of hash,
+while sets that are not similar share their few grams singly.  Pairs are then
 made distinct, assigned to one of their shared grams, and every document's text
 goes once to each gram it is needed at; there each pair is verified once, on the
 whole sets.
@@ -49,6 +53,7 @@ LOCAL_REPEATS = 4  # a gram is counted where this many documents of one batch ho
 FREQUENT = 1 << 18  # entries of the table of frequent grams
 RANGE_ROWS = 1_500_000  # prefix grams that meet in one range
 PAIRS_AT_ONCE = 200_000  # pairs verified at one shared gram before it is split
+RUN_SIZE = 128  # sets so large share two grams in a row
 SLICE = 8 << 20
 
 
@@ -121,7 +126,7 @@ def _unplanes(data, at: int, n: int, kind) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(g: np.ndarray, splits: np.ndarray, hot: np.ndarray, rank: np.ndarray, threshold: float):
-    """(row, place in the order, gram, hash of the gram before) of all prefix grams, row by row in order."""
+    """(row, place in the order, gram, hashes of the grams beside it) of all prefix grams, row by row in order."""
     size = np.diff(splits)
     rows = len(size)
     row = per_row(g, splits)
@@ -145,9 +150,12 @@ def _prefixes(g: np.ndarray, splits: np.ndarray, hot: np.ndarray, rank: np.ndarr
     out_g[start[row[inside]] + place[inside]] = g[inside]
     out_row = np.repeat(np.arange(rows), length)
     out_place = np.arange(start[-1]) - start[:-1][out_row]
-    before = np.zeros(len(out_g), np.uint64)
-    before[1:] = out_g[:-1]
-    return out_row, out_place, out_g, (mix(before) & np.uint64(0xFFFFFF)).astype(np.uint32)
+    # 24 bits of the gram before and 8 of the one after, in the order
+    mixed = mix(out_g)
+    beside = np.zeros(len(out_g), np.uint32)
+    beside[1:] = (mixed[:-1] & np.uint64(0xFFFFFF)).astype(np.uint32)
+    beside[:-1] |= (mixed[1:] >> np.uint64(56)).astype(np.uint32) << np.uint32(24)
+    return out_row, out_place, out_g, beside
 
 
 def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges: int):
@@ -167,12 +175,12 @@ def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges:
             packed = ((quarters & 255) << np.array([0, 8, 16, 24])).sum(axis=1).astype(np.uint32)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g))))
             sig = mix((sums[splits[1:]] - sums[splits[:-1]]) ^ size.astype(np.uint64))
-            p_row, place, p_g, before = _prefixes(g, splits, hot, rank, threshold)
+            p_row, place, p_g, beside = _prefixes(g, splits, hot, rank, threshold)
             some = np.flatnonzero(size > 0)
             # a document's whole set stands as one more gram, in a place of its own
             p_row, place = np.concatenate((p_row, some)), np.concatenate((place, np.full(len(some), -1)))
-            p_g, before = np.concatenate((p_g, sig[some])), np.concatenate((before, np.zeros(len(some), np.uint32)))
-            held.append((part.column("doc_id").to_numpy(), size, packed, (sig >> np.uint64(32)).astype(np.uint32), p_row + docs_held, place, p_g, before))
+            p_g, beside = np.concatenate((p_g, sig[some])), np.concatenate((beside, np.zeros(len(some), np.uint32)))
+            held.append((part.column("doc_id").to_numpy(), size, packed, (sig >> np.uint64(32)).astype(np.uint32), p_row + docs_held, place, p_g, beside))
             docs_held += part.num_rows
             if sum(len(x[4]) for x in held) >= RANGE_ROWS:
                 yield from _pack(held, ranges)
@@ -184,10 +192,10 @@ def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges:
 
 
 def _pack(held: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
-    ids, size, quarters, sig, row, place, g, before = (np.concatenate(x) for x in zip(*held))
+    ids, size, quarters, sig, row, place, g, beside = (np.concatenate(x) for x in zip(*held))
     g48 = g >> np.uint64(16)
     order = np.argsort(g48)
-    row, place, g48, before = row[order], place[order], g48[order], before[order]
+    row, place, g48, beside = row[order], place[order], g48[order], beside[order]
     which = (g48 * np.uint64(ranges) >> np.uint64(48)).astype(np.int64) if ranges < 1 << 16 else (g48 // np.uint64((1 << 48) // ranges + 1)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
     names, blobs = [], []
@@ -198,7 +206,7 @@ def _pack(held: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
         step = np.diff(g48[a:b], prepend=np.uint64(0))
         blobs.append(b"".join((
             np.array([len(docs), b - a], np.int64).tobytes(), _planes(ids[docs].astype(np.int64)), _planes(size[docs].astype(np.uint32)), _planes(quarters[docs]), _planes(sig[docs]),
-            _planes(step), _planes(local[row[a:b]]), _planes((place[a:b] + 1).astype(np.uint32)), _planes(before[a:b])[: 3 * (b - a)],
+            _planes(step), _planes(local[row[a:b]]), _planes((place[a:b] + 1).astype(np.uint32)), _planes(beside[a:b]),
         )))
         names.append(int(which[a]))
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.large_binary() if sum(map(len, blobs)) > 1 << 30 else pa.binary())], names=["part", "block"])
@@ -213,9 +221,8 @@ def _unpack(blob) -> tuple[np.ndarray, ...]:
     step, at = _unplanes(blob, at, rows, np.uint64)
     local, at = _unplanes(blob, at, rows, np.uint32)
     place, at = _unplanes(blob, at, rows, np.uint32)
-    before = np.zeros((4, rows), np.uint8)
-    before[:3] = np.frombuffer(blob, np.uint8, 3 * rows, at).reshape(3, rows)
-    return ids, size.astype(np.int64), quarters, sig, np.cumsum(step), local.astype(np.int64), place.astype(np.int64) - 1, np.ascontiguousarray(before.T).reshape(-1).view(np.uint32)
+    beside, at = _unplanes(blob, at, rows, np.uint32)
+    return ids, size.astype(np.int64), quarters, sig, np.cumsum(step), local.astype(np.int64), place.astype(np.int64) - 1, beside
 
 
 def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +230,7 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
     parts = [_unpack(b) for b in blobs]
     base = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
     ids, size, quarters, sig = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    g, place, before = (np.concatenate([p[i] for p in parts]) for i in (4, 6, 7))
+    g, place, beside = (np.concatenate([p[i] for p in parts]) for i in (4, 6, 7))
     doc = np.concatenate([p[5] + o for p, o in zip(parts, base)])
     out: list[tuple] = []
 
@@ -252,7 +259,7 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
         again[1:] = (g[t][1:] == g[t][:-1]) & (size[d][1:] == size[d][:-1]) & (sig[d][1:] == sig[d][:-1]) & (quarters[d][1:] == quarters[d][:-1])
         t = t[~again]
         d = doc[t]
-    gt, st, pt, bt, qt, it = g[t], size[d], place[t], before[t], quarters[d], ids[d]
+    gt, st, pt, bt, qt, it = g[t], size[d], place[t], beside[t], quarters[d], ids[d]
     active, offset = np.arange(len(t)), 1
     while len(active):
         active = active[active + offset < len(t)]
@@ -263,7 +270,9 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
         offset += 1
         need = np.ceil(threshold / (1 + threshold) * (st[a] + st[b]) - 1e-9).astype(np.int64)
         ok = 1 + np.minimum(st[a] - pt[a], st[b] - pt[b]) - 1 >= need
-        ok &= (pt[a] == 0) | (pt[b] == 0) | (bt[a] != bt[b])
+        differ = bt[a] ^ bt[b]
+        ok &= (pt[a] == 0) | (pt[b] == 0) | (differ & np.uint32(0xFFFFFF) != 0)
+        ok &= (np.minimum(st[a], st[b]) < RUN_SIZE) | (differ >> np.uint32(24) == 0)
         ok &= it[a] != it[b]
         a, b, need = a[ok], b[ok], need[ok]
         gap = np.zeros(len(a), np.int64)
