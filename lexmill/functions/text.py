@@ -131,7 +131,7 @@ def similarity(cos: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """A model's reply without code fences; where that is no JSON, its first flat object."""
-    bare = F.trim(F.regexp_replace(text, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+    bare = F.btrim(F.regexp_replace(text, r"(?m)^\s*```[A-Za-z]*\s*$", ""), F.lit(" \t\r\n"))
     flat = F.regexp_extract(bare, r"\{[^{}]*\}", 0)
     return F.coalesce(F.when(F.try_parse_json(bare).isNotNull(), bare), F.when(flat != "", flat))
 

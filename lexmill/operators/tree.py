@@ -125,9 +125,9 @@ def build(entries: DataFrame, totals: DataFrame) -> DataFrame:
     placed = rows.select("doc_id", "e", "x", F.when(after.isNotNull(), F.greatest(F.col("x.start_page"), after["start_page"] - 1)).otherwise(F.col("total_pages")).alias("end_page"), F.reverse(chain).alias("chain"))
 
     def parent(ord_: Column) -> Column:
-        """``ord`` of the parent of the entry in ``e`` with this ord, 0 for none."""
+        """``ord`` of the parent of the entry in ``e`` with this ord, -1 for none."""
         own = F.filter("e", lambda y: y["ord"] == ord_)[0]
-        return F.coalesce(F.try_element_at(F.filter("e", lambda y: (y["ord"] < ord_) & (y["level"] < own["level"])), F.lit(-1))["ord"].cast("long"), F.lit(0).cast("long"))
+        return F.coalesce(F.try_element_at(F.filter("e", lambda y: (y["ord"] < ord_) & (y["level"] < own["level"])), F.lit(-1))["ord"].cast("long"), F.lit(-1).cast("long"))
 
     parents = F.transform("e", lambda y: F.struct(y["ord"].alias("ord"), parent(y["ord"]).alias("parent")))
     placed = placed.withColumn("p", parents)
