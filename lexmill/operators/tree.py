@@ -180,3 +180,30 @@ def outline(nodes: DataFrame) -> DataFrame:
     """(doc_id, outline): a line per node, indented by depth."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("["), "node_id", F.lit("] "), "title", F.lit(" (pages "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit(")"))
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("outline"))
+
+
+def page_view(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text, char_count) of all pages."""
+    return pages.select("doc_id", "page", "text", F.length("text").alias("char_count"))
+
+
+def raw_view(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): each document's pages, one after the other."""
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def node_view(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, node_id, text) of each node's pages; a page may be in several nodes."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
+    return node_pages(nodes, pages).groupBy("doc_id", "node_id").agg(F.array_join(rows, "\n\n").alias("text"))
+
+
+def query(nodes: DataFrame, pages: DataFrame, queries: DataFrame, k: int = 3, navigator=select_nodes) -> DataFrame:
+    """(query_id, doc_id, node_id, sel_ord, pages, text): for each question and document the nodes that ``navigator`` picks, texts cut to 2000 characters."""
+    picked = navigator(nodes, queries, k)
+    keyed = picked.select(F.concat_ws("\u0001", F.col("query_id").cast("string"), "doc_id").alias("key"), "query_id", "doc_id", "node_id", "sel_ord")
+    own = keyed.select("key", "query_id", "doc_id").distinct()
+    some_nodes = nodes.join(own, "doc_id").drop("doc_id", "query_id").withColumnRenamed("key", "doc_id")
+    some_pages = pages.join(own, "doc_id").select(F.col("key").alias("doc_id"), "page", "text")
+    got = extract(some_nodes, some_pages, keyed.select(F.col("key").alias("doc_id"), "node_id", "sel_ord"))
+    return got.withColumnRenamed("doc_id", "key").join(own, "key").select("query_id", "doc_id", "node_id", "sel_ord", "pages", F.left("text", F.lit(2000)).alias("text"))

@@ -225,3 +225,25 @@ def test_agent_and_compliance(spark):
     row = compliance.scan(docs, "GDPR", llm=lambda p: '{"risk_score": 170, "summary": "bad"}').first()
     assert (row.risk_score, row.summary, row.sampled) == (100, "bad", 5)
     assert compliance.scan(docs, "SOC2").first().risk_score == 50
+
+
+def test_extraction(spark):
+    from lexmill.operators import extraction
+
+    turns = spark.createDataFrame([(1, i, f"How does part {i} work here?", "x" * 150) for i in range(1, 7)] + [(2, 3, "hi", "x")], "user_id int, turn int, question string, answer string")
+    reply = '```json\n[{"c": "Part is a pump", "t": "preference", "i": 7, "g": ["a", "b", "c"]}, {"content": "short"}, {"content": "Another thing known", "importance": 0.2}, {"c": "a fourth one is dropped"}]\n```'
+    got = extraction.extract(turns, lambda p: reply).orderBy("turn", "n").collect()
+    assert [(r.turn, r.content, r.memory_type, r.importance, r.tags) for r in got[:2]] == [(3, "Part is a pump", "pref", 1.0, ["a", "b"]), (3, "Another thing known", "fact", 0.2, [])] and len(got) == 4
+    assert extraction.extract(turns).count() == 0
+    talk = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(5)] + [(2, 0, "user", "x")], "conv_id int, turn int, role string, text string")
+    assert [tuple(r) for r in extraction.summarise(talk, lambda p: '{"s": "They talked", "g": ["t"]}').collect()] == [(1, "They talked", "summary", 0.6, ["t"])]
+
+
+def test_tree_queries(spark):
+    pages = spark.createDataFrame([(d, p, f"about {w} and more") for d in ("d", "e") for p, w in enumerate(["cats", "dogs", "birds"], 1)], "doc_id string, page int, text string")
+    entries = spark.createDataFrame([(d, p, 1, w, p) for d in ("d", "e") for p, w in enumerate(["cats", "dogs", "birds"], 1)], "doc_id string, ord int, level int, title string, start_page int")
+    nodes = tree.build(entries, pages.groupBy("doc_id").agg(F.max("page").alias("total_pages"))).withColumn("summary", F.lit(""))
+    queries = spark.createDataFrame([(1, "tell me of dogs"), (2, "birds")], "query_id int, query string")
+    got = {(r.query_id, r.doc_id): (r.node_id, r.pages) for r in tree.query(nodes, pages, queries, 1).collect()}
+    assert got == {(1, "d"): ("0002", [2]), (1, "e"): ("0002", [2]), (2, "d"): ("0003", [3]), (2, "e"): ("0003", [3])}
+    assert tree.raw_view(pages).count() == 2 and tree.node_view(nodes, pages).count() == 6 and tree.page_view(pages).first().char_count > 0
