@@ -29,24 +29,20 @@ CRAWL_DATE = "2024-01-01T00:00:00Z"
 _BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|main|aside|blockquote|pre|body|html|td|th|form|figure|dl|dt|dd|hr"
 #: (pattern, replacement) in order; the same in Java's and RE2's dialect.
 STEPS = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b.*?</script\s*>", ""),
-    (r"(?is)<style\b.*?</style\s*>", ""),
-    (r"(?is)<noscript\b.*?</noscript\s*>", ""),
-    (r"(?is)<head\b.*?</head\s*>", ""),
+    (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<head\b.*?</head\s*>", ""),
     (rf"(?i)</?({_BLOCKS})\b[^>]*>", "\n"),
-    (r"<[A-Za-z/!?][^>]*>", ""),
-    (r"<[A-Za-z/!?][^>]*$", ""),
+    (r"<[A-Za-z/!?][^>]*>?", ""),
 ]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&ntilde;", "ñ")]
-SPACES = [(r"[ \t\f\r]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", "")]
+SPACES = [(r"[ \t\f\r]{2,}|[\t\f\r]", " "), (r" ?\n[ \n]*", "\n")]
 
 
 def entities(text: Column) -> Column:
     """Named, decimal and hexadecimal references decoded once each; ``&amp;`` last."""
-    for name, letter in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+    # only the references that occur are replaced: names, then numbers, so that nothing is decoded twice
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"), F.lit(0)))
+    found = F.sort_array(F.array_except(found, F.array(F.lit("&amp;"))), asc=False)
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES for x in pair))
 
     def point(ref: Column) -> Column:
         inner = F.substring(ref, F.lit(3), F.length(ref) - 3)
@@ -54,18 +50,24 @@ def entities(text: Column) -> Column:
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
 
-    text = F.aggregate(found, text, lambda acc, ref: F.replace(acc, ref, point(ref)))
+    value = lambda ref: F.when(F.startswith(ref, F.lit("&#")), point(ref)).otherwise(F.coalesce(names[ref], ref))
+    text = F.aggregate(found, text, lambda acc, ref: F.replace(acc, ref, value(ref)))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
-def html_text(html: Column) -> Column:
-    """The readable text of HTML, a line per block."""
+def with_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """``rows`` with the readable text of a column of HTML, a line per block.
+
+    Each step that a later one uses more than once is a column, so that it is
+    computed once.
+    """
+    bare = F.col(html)
     for pattern, to in STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    html = entities(html)
+        bare = F.regexp_replace(bare, pattern, to)
+    text = entities(F.col("_bare"))
     for pattern, to in SPACES:
-        html = F.regexp_replace(html, pattern, to)
-    return html
+        text = F.regexp_replace(text, pattern, to)
+    return rows.withColumn("_bare", bare).withColumn(name, F.btrim(text, F.lit(" \n"))).drop("_bare")
 
 
 def _urn(text: Column) -> Column:
@@ -90,6 +92,7 @@ def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response: (record_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, source_payload_digest, header, block)."""
     source = responses.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_header", "payload")))
     source = source.withColumn("digest", _digest(F.col("payload"))).withColumn("conversion_id", _urn(F.concat(F.lit("conversion|"), "record_id")))
+    source = with_text(source, "payload", "_text")
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1), r"[ \t\r\n]+", " ")
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1), F.lit("\r\nsource-content-type: "), F.regexp_extract("http_header", r"(?i)content-type: *([^\r\n]*)", 1),
@@ -99,7 +102,7 @@ def derive(responses: DataFrame) -> DataFrame:
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), _urn(F.concat(F.lit("metadata|"), "record_id")).alias("own_id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.col("conversion_id").alias("own_id"), F.lit("text/plain; charset=utf-8").alias("content_type"), html_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.col("conversion_id").alias("own_id"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("block")),
     )
     made = source.select("record_id", "target_uri", "warc_date", "digest", F.explode(kinds).alias("k")).select(
         "k.record_type", F.col("k.own_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "k.content_type", F.octet_length("k.block").cast("bigint").alias("content_length"),
@@ -165,6 +168,7 @@ def _sql() -> str:
         text = f"replace({text}, {quote(name)}, {quote(letter)})"
     for pattern, to in SPACES:
         text = f"regexp_replace({text}, {quote(pattern)}, {'chr(10)' if to == chr(10) else quote(to)}, 'g')"
+    text = f"trim({text}, ' ' || chr(10))"
     urn = lambda x: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({x}) AS h))"
     crlf = "chr(13) || chr(10)"
     fields = f""" || {crlf} || """.join([
