@@ -9,7 +9,7 @@ from ..functions.text import BOOL, KEYVAL, contains_any, norm_key, norm_value, s
 
 MOST_ISSUES = 50
 MOST_CHUNKS = 1200
-WEIGHTS = {"critical": 18, "high": 12, "medium": 7, "low": 3}
+WEIGHTS = {"low": 3, "medium": 7, "high": 12, "critical": 18}
 ISSUE_TYPES = ["blind_spot", "contradiction", "drift", "resilience_gap"]
 #: topic, severity where it is missing, what documents about it hold
 TOPICS = [
@@ -30,6 +30,7 @@ DEPENDENCIES = [
 ]
 MITIGATIONS = "timeout|retry|rate limit|circuit breaker|degraded|fallback|failover|multi-az|cluster|replication|replica"
 _SUFFIXES = "(ms|sec|seconds|min|mins|hours|days|s|%)$"
+RULES = [f"{verb}{negated}" for negated in ("", "_not") for verb in ("should", "must")]
 NO_RISK = "No major risks were found; repeat the scan after changes."
 
 
@@ -47,7 +48,7 @@ def claims(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def severe(value: Column) -> Column:
     """Whether a claimed value is a quantity or a rule."""
     plain = value.rlike(r"^[0-9]*\.?[0-9]*$") & value.rlike("[0-9]")
-    return value.rlike(_SUFFIXES) | plain | value.isin("must", "must_not", "should", "should_not")
+    return value.rlike(_SUFFIXES) | plain | value.isin(RULES)
 
 
 def contradictions(claimed: DataFrame, key: str = "doc_id") -> DataFrame:

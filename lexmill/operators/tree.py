@@ -13,16 +13,20 @@ from ..functions.text import first_title, local_summary
 
 LEAST_ENTRIES = 3
 _DASH = r"\s*[:.–—-]\s*"
+_CAPITAL = "[A-Z]"
+_NAME, _REST = rf"\s+({_CAPITAL}.{{2,80}})$", r"\s+(.{3,80})$"
+_N = r"\d\d?"
+_ROMAN = "[IVXLCDM]"
 #: (pattern, level, group of the title; 0 for the whole line)
 HEADINGS = [
     (rf"^(?:Chapter|CHAPTER)\s+(\d+){_DASH}(.+)", 1, 2),
-    (rf"^(?:Part|PART)\s+(\d+|[IVXLCDM]+){_DASH}(.+)", 1, 2),
-    (r"^(\d\d?)\.\s+([A-Z].{2,80})$", 1, 2),
-    (r"^(\d\d?\.\d\d?)\.?\s+(.{3,80})$", 2, 2),
-    (r"^(\d\d?\.\d\d?\.\d\d?)\.?\s+(.{3,80})$", 3, 2),
+    (rf"^(?:Part|PART)\s+(\d+|{_ROMAN}+){_DASH}(.+)", 1, 2),
+    (rf"^({_N})\.{_NAME}", 1, 2),
+    (rf"^({_N}\.{_N})\.?{_REST}", 2, 2),
+    (rf"^({_N}\.{_N}\.{_N})\.?{_REST}", 3, 2),
     (rf"^(?:SECTION|Section)\s+(\d+(?:\.\d+)*){_DASH}(.+)", 2, 2),
-    (r"^([IVXLCDM]{1,5})\.\s+([A-Z].{2,80})$", 1, 2),
-    (r"^([A-Z])\.\s+([A-Z].{2,80})$", 2, 2),
+    (rf"^({_ROMAN}{{1,5}})\.{_NAME}", 1, 2),
+    (rf"^([A-Z])\.{_NAME}", 2, 2),
     (rf"^(?:APPENDIX|Appendix)\s+([A-Z]){_DASH}(.+)", 1, 2),
     (r"^([A-Z][A-Z\s]{8,60})$", 1, 0),
 ]

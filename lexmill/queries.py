@@ -45,7 +45,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").join(vectors, "doc_id")
 
 
-# --- words -----------------------------------------------------------------------------------------------------------
+# words
 
 _BM25 = f"""
 w AS (SELECT doc_id, {S.words("coalesce(text, '')")} AS w FROM {{docs}}),
@@ -77,7 +77,7 @@ def bm25_idf_table(spark: SparkSession, d: str) -> DataFrame:
     return bm25.term_statistics(docs, bm25.postings(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-# --- vectors ---------------------------------------------------------------------------------------------------------
+# vectors
 
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
@@ -112,7 +112,7 @@ def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vector.similar_pairs(_table(spark, d, "embeddings"), 0.4).withColumn("cosine", F.round("cosine", 6))
 
 
-# --- hybrid ----------------------------------------------------------------------------------------------------------
+# hybrid
 
 def _hybrid(where: str = "true") -> str:
     near = _knn("(SELECT doc_id AS id, lang, embedding AS v FROM chunks)", "questions", 10, 0.25, where)
@@ -162,7 +162,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.citations(answers, answers.select("query_id").crossJoin(sources))
 
 
-# --- routing and analytics -------------------------------------------------------------------------------------------
+# routing and analytics
 
 @query(f"SELECT conv_id, turn, {router.sql('text')} AS category FROM conversations WHERE role = 'user'")
 def route_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -237,7 +237,7 @@ def memory_type_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("count"))
 
 
-# --- audits ----------------------------------------------------------------------------------------------------------
+# audits
 
 _PAIR = "SELECT doc_id, unnest(regexp_extract_all(text, '{r}', 1)) AS k, unnest(regexp_extract_all(text, '{r}', 2)) AS v FROM documents"
 _CLAIMS = f"""claims AS (SELECT DISTINCT * FROM (SELECT doc_id, {S.norm_key('k')} AS claim_key, {S.norm_value('trim(v)')} AS claim_value FROM ({_PAIR.replace('{r}', X.KEYVAL)})
@@ -339,7 +339,7 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
     return integrity.recommendations(_issues(spark, d))
 
 
-# --- memory ----------------------------------------------------------------------------------------------------------
+# memory
 
 _USERS = "SELECT vec_id, label, embedding FROM embeddings"
 
@@ -397,7 +397,7 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return memory.leader_clusters(_table(spark, d, "embeddings"), "label", "vec_id", 0.35)
 
 
-# --- evaluation ------------------------------------------------------------------------------------------------------
+# evaluation
 
 _EVAL = f"""WITH questions AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_bm25('documents')}, {_BM25_HITS},
 results AS (SELECT q.query_id, min(place) IS NOT NULL AS retrieval_hit, coalesce(1.0::DOUBLE / min(place), 0) AS mrr FROM questions q LEFT JOIN (SELECT h.query_id, place FROM word_hits h JOIN documents USING (doc_id) WHERE source IN ('src' || h.query_id % 20, 'src' || (h.query_id + 7) % 20)) h USING (query_id) GROUP BY q.query_id)"""
@@ -419,7 +419,7 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.summarise(_evaluated(spark, d)).withColumn("avg_mrr", F.round("avg_mrr", 9))
 
 
-# --- texts and chunks ------------------------------------------------------------------------------------------------
+# texts and chunks
 
 @query(f"SELECT doc_id, substring(sha256(source || ':' || doc_id || ':' || n_chars), 1, 16) AS chunk_id, sha256(text) AS text_hash, {S.snippet('text')} AS snippet, {S.norm_key('text')} AS norm_key, ceil(length(text) / 4.0)::INT AS tokens, len({S.words('text')}) AS words FROM documents")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -457,7 +457,7 @@ def prose_sections(spark: SparkSession, d: str) -> DataFrame:
     return trimmed.select("doc_id", F.size("l").cast("long").alias("lines"), F.size(starts).cast("long").alias("sections"))
 
 
-# --- trees -----------------------------------------------------------------------------------------------------------
+# trees
 
 _PAGES = "p AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS page, text FROM documents WHERE source IS NOT NULL)"
 
@@ -511,7 +511,7 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<h1[^>]*>([^<]*)", 1).alias("title"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"))
 
 
-# --- tables and windows ----------------------------------------------------------------------------------------------
+# tables and windows
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT doc_id + 100000000, 'new' FROM documents WHERE doc_id % 10 = 3")
 def upserted(spark: SparkSession, d: str) -> DataFrame:

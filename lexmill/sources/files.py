@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_path, suffix
 
-LANGUAGES = {
-    ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "csharp", ".css": "css", ".cxx": "cpp", ".go": "go", ".h": "c", ".hpp": "cpp", ".html": "html", ".java": "java", ".js": "javascript", ".json": "json",
-    ".jsx": "javascript", ".kt": "kotlin", ".md": "markdown", ".php": "php", ".py": "python", ".rb": "ruby", ".rs": "rust", ".scala": "scala", ".sh": "bash", ".sql": "sql", ".swift": "swift",
-    ".toml": "toml", ".ts": "typescript", ".tsx": "typescript", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml",
+_SUFFIXES = {
+    "bash": "fish zsh bash sh", "batch": "cmd bat", "c": "h c", "clojure": "clj", "cpp": "hpp cpp", "csharp": "csx cs", "css": "css", "dart": "dart", "docker": "dockerfile", "elixir": "exs ex", "elm": "elm",
+    "erlang": "erl", "go": "go", "graphql": "gql graphql", "groovy": "gradle groovy", "haskell": "hs", "hcl": "hcl tf", "html": "htm html", "image": "webp png jpeg jpg gif", "java": "java", "javascript": "jsx cjs mjs js",
+    "json": "avsc json", "kotlin": "kts kt", "less": "less", "lisp": "lisp", "lua": "lua", "markdown": "mdx md", "objc": "mm m", "pdf": "pdf", "perl": "pm pl", "php": "php", "powershell": "ps1", "protobuf": "proto",
+    "python": "pyw pyi py", "r": "r", "ruby": "rb", "rust": "rs", "sass": "sass", "scala": "scala", "scss": "scss", "sql": "sql", "svelte": "svelte", "swift": "swift", "thrift": "thrift", "toml": "toml",
+    "typescript": "tsx ts", "vue": "vue", "xml": "xml", "yaml": "yml yaml",
+    "asciidoc": "adoc", "ini": "conf cfg ini", "latex": "tex", "properties": "properties", "rst": "rst",
 }
-MULTIMODAL = sorted(".pdf .png .jpg .jpeg .gif .webp .bmp .tiff".split())
-OTHER_TEXT = sorted(".txt .rst .csv .tsv .log .ini .cfg .conf .properties .env .bat .ps1 .lua .r .jl .m .mm .pl .pm .ex .exs .erl .hs .ml .clj .lisp .dart .vue .svelte .scss .less .sass .graphql .proto .tf .gradle .make .cmake .dockerfile .tex .adoc .org .ipynb .jsonl .htm .zsh .fish .vb .fs .pas .asm .groovy .zig .nim".split())
-SUPPORTED = sorted({*LANGUAGES, *MULTIMODAL, *OTHER_TEXT} - {".bmp", ".tiff"})
-SKIPPED = sorted("node_modules __pycache__ venv env dist build target vendor site-packages coverage egg-info".split())
+LANGUAGES = {f".{s}": name for name, suffixes in _SUFFIXES.items() for s in suffixes.split()}
+MULTIMODAL = [f".{s}" for s in "bmp gif jpeg jpg pdf png tiff webp".split()]
+OTHER_TEXT = [f".{s}" for s in "env log txt".split()]
+SUPPORTED = sorted({*LANGUAGES, *OTHER_TEXT})
+SKIPPED = sorted("vendor obj bin target build dist env venv coverage eggs node_modules __pycache__ *.egg-info".split())
 DOCUMENTS = "content string, filepath string, language string, metadata map<string,string>"
 
 
