@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +55,32 @@ def byte_sizes(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+ID_BITS = 1 << 26
+
+
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(ID_BITS)) + 1
+
+
+def id_bitmap(ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """A set of ids as bits: at most ``ID_BITS`` / 8 bytes (8 MB) in rows of 4 KB, however many ids there are."""
+    slots = ids.select(_slot(column).alias("s"))
+    return durable(slots.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits")))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` with a column ``_maybe``: false only where the id isn't in the set, so that few others need a shuffle."""
+    at = F.bitmap_bit_position(_slot(column))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0, F.lit(False))
+    joined = rows.withColumn("_at", at).join(F.broadcast(bitmap), F.bitmap_bucket_number(_slot(column)) == F.col("_bucket"), "left")  # 8 MB at most
+    return joined.withColumn("_maybe", bit & F.col(column).isNotNull()).select(*(rows[c] for c in rows.columns), "_maybe")
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` whose id isn't in ``gone``; only those that may be in it are shuffled.  Null ids stay."""
+    marked = maybe_in(rows, id_bitmap(gone, column), column)
+    rest = marked.where("_maybe").join(gone.select(column), column, "left_anti")
+    return marked.where("not _maybe").select(rows.columns).unionByName(rest.select(rows.columns))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ._common import durable, id_bitmap, maybe_in, without_ids
 
 PRIME = 4611686018427387847  # the largest prime below 2**62
 BASE = 256
@@ -125,7 +125,7 @@ def duplicates(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE, prints: Da
     prints = durable(fingerprints(docs, chunk, huge)) if prints is None else prints
     members = durable(_candidates(docs, prints))
     pieces = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("_t"))
+        maybe_in(docs.select("doc_id", F.col("text").cast("binary").alias("_t")), id_bitmap(members)).where("_maybe")
         .join(members.select("doc_id", "len", "fp"), "doc_id")
         .where(F.octet_length("_t") == F.col("len"))
         .select("len", "fp", F.explode(F.expr(f"sequence(0L, greatest(octet_length(_t) - 1, 0) div {chunk})")).alias("no"), "_t")
@@ -147,7 +147,7 @@ def drop_duplicates(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE) -> Da
     gone = durable(duplicates(docs, chunk, huge, prints).select("doc_id"))
     again = durable(prints.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return without_ids(docs, gone)
     # ids that occur more than once name several rows: those rows are decided by id and text together
     single = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(docs.columns)
     several = docs.join(again, "doc_id", "left_semi").select(docs.columns)

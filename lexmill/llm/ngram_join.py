@@ -13,12 +13,11 @@ hashes, and the blocks of a range meet.  There a pair must pass
 
 and is taken at the first gram of each run of shared grams only.  Sets of
 ``RUN_SIZE`` grams and more must share two grams that follow each other in the
-order: at the threshold, 0.7, a run has no shared neighbours anywhere in two
+order: at the threshold, 0.6, a run has no shared neighbours anywhere in two
 prefixes of such sets with a probability of 1e-9, grams being in order of hash,
 while sets that are not similar share their few grams singly.  Pairs are then
-made distinct, assigned to one of their shared grams, and every document's text
-goes once to each gram it is needed at; there each pair is verified once, on the
-whole sets.
+made distinct, connected into groups, and every document's text goes once to its
+group; there each pair is verified once, on the whole sets.
 
 Rare-first order: grams that many documents share are found by counts over all
 documents and ordered last by frequency; the others are ordered by hash.  The
@@ -44,15 +43,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, durable, row_slices
+from ._common import byte_sizes, durable, id_bitmap, maybe_in, row_slices, without_ids
 from ._text import mix, ngrams, per_row, words
 
 N = 2
-THRESHOLD = 0.7
-LOCAL_REPEATS = 4  # a gram is counted where this many documents of one batch hold it
+THRESHOLD = 0.6
+LOCAL_REPEATS = 2  # a gram is counted where this many documents of one slice hold it
 FREQUENT = 1 << 18  # entries of the table of frequent grams
-RANGE_ROWS = 1_500_000  # prefix grams that meet in one range
-PAIRS_AT_ONCE = 200_000  # pairs verified at one shared gram before it is split
+RANGE_ROWS = 700_000  # prefix grams that meet in one range
+PAIRS_AT_ONCE = 1_000_000  # pairs verified in one group before it is split
 RUN_SIZE = 128  # sets so large share two grams in a row
 SLICE = 8 << 20
 
@@ -82,7 +81,7 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa
 
 def _count_frequent(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches, 4 * SLICE):
+        for part in _parts(batches):
             g, _ = _sets(part.column("text"), n)
             total = len(g)
             key = np.sort(g)
@@ -99,9 +98,10 @@ def _count_frequent(n: int):
 
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted frequent grams, their ranks (1 = least frequent), and the number of grams of all documents."""
-    counts = durable(docs.select("doc_id", "text").mapInArrow(_count_frequent(n), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")))
-    total = sum(r["c"] or 0 for r in counts.where("g is null").collect())
-    top = counts.where("g is not null").orderBy(F.desc("c"), "g").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    counts = docs.select("doc_id", "text").mapInArrow(_count_frequent(n), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "g").limit(FREQUENT + 1).toArrow()  # the number of all grams stands first, under null
+    total = pc.sum(top["c"].filter(pc.is_null(top["g"]))).as_py() or 0
+    top = top.filter(pc.is_valid(top["g"]))
     g, c = top["g"].to_numpy().view(np.uint64), top["c"].to_numpy()
     by_count = np.lexsort((g, c))
     rank = np.empty(len(g), np.int64)
@@ -295,15 +295,15 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
 
 
 def candidate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, g) once for every pair that passes the filters; g: a gram that both hold."""
+    """(a, b) once for every pair that passes the filters."""
     hot, rank, total = _frequent(docs, n)
     ranges = max(1, round(total * (1 - threshold) / RANGE_ROWS))
 
     def meet(rows: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("a", "b", "g"), candidates_of([x.as_buffer() for x in rows["block"]], threshold))))
+        return pa.table(dict(zip(("a", "b"), candidates_of([x.as_buffer() for x in rows["block"]], threshold))))
 
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(n, threshold, hot, rank, ranges), "part bigint, block binary")
-    return blocks.groupBy("part").applyInArrow(meet, "a bigint, b bigint, g bigint").groupBy("a", "b").agg(F.min("g").alias("g"))
+    return blocks.groupBy("part").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _verify(n: int, threshold: float):
@@ -345,13 +345,17 @@ def _verify(n: int, threshold: float):
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b, of all pairs as the module describes them."""
     found = durable(candidate_pairs(docs, n, threshold))
-    # a gram at which very many pairs meet is split by both ids
+    group = groups(found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
+    placed = found.join(group.select(F.col("doc_id").alias("a"), "keep_id"), "a", "left").select("a", "b", F.coalesce("keep_id", "a").alias("g"))
+    # a group in which very many pairs meet is split by both ids
     ways = F.ceil(F.sqrt(F.count("*") / PAIRS_AT_ONCE))
-    crowded = found.groupBy("g").agg(ways.alias("k")).where("k > 1")
-    keyed = found.join(crowded, "g", "left").select(
+    crowded = placed.groupBy("g").agg(ways.alias("k")).where("k > 1")
+    keyed = placed.join(crowded, "g", "left").select(
         "g", *(F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.col("k"))).cast("bigint").alias(f"g{c}") for c in ("a", "b")), "a", "b")
     needed = keyed.select("g", "ga", "gb", F.col("a").alias("_d")).union(keyed.select("g", "ga", "gb", F.col("b").alias("_d"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("_d"), "text").where("text is not null").join(needed, "_d").select("g", "ga", "gb", F.col("_d").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    ids = found.select(F.explode(F.array("a", "b")).alias("_d"))
+    wanted = maybe_in(docs.select(F.col("doc_id").alias("_d"), "text").where("text is not null"), id_bitmap(ids, "_d"), "_d").where("_maybe")
+    texts = wanted.join(needed, "_d").select("g", "ga", "gb", F.col("_d").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
     rows = texts.unionByName(keyed.withColumn("text", F.lit(None).cast("string")))
     met = rows.repartition("g", "ga", "gb").sortWithinPartitions("g", "ga", "gb", F.col("b").isNotNull())
     return met.mapInArrow(_verify(n, threshold), "doc_a bigint, doc_b bigint, jaccard double")
@@ -388,8 +392,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 
     Rows that share a ``doc_id`` stay or go together.
     """
-    gone = groups(durable(similar_pairs(docs, n, threshold)))
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, groups(durable(similar_pairs(docs, n, threshold))))
 
 
 SQL = f"""
