@@ -7,17 +7,17 @@ each reading task packs its prefix grams into one column block per range of gram
 hashes, and the blocks of a range meet.  There a pair must pass
 
 * the length filter: sizes within ``threshold`` of each other,
-* the positional filter: what remains after the shared gram still suffices,
+* the positional filter: what remains after the shared gram still suffices, it
+  being one of the first ``q`` that are shared,
 * the suffix filter: the sets' counts in four hash ranges (modulo 256, compared
   around the circle) bound their symmetric difference from below,
 
-and is taken at the first gram of each run of shared grams only.  Sets of
-``RUN_SIZE`` grams and more must share two grams that follow each other in the
-order: at the threshold, 0.6, a run has no shared neighbours anywhere in two
-prefixes of such sets with a probability of 1e-9, grams being in order of hash,
-while sets that are not similar share their few grams singly.  Pairs are then
-made distinct, connected into groups, and every document's text goes once to its
-group; there each pair is verified once, on the whole sets.
+and the grams that pass are counted over all ranges.  A pair whose sets of sizes
+``a <= b`` share at least ``need`` grams shares ``need - ceil(threshold * b) + 1``
+of them in the two prefixes, whatever the order is; ``q`` is that number,
+``SHARED`` at most, and a pair that passes with fewer grams is none.  Pairs are
+then connected into groups, and every document's text goes once to its group;
+there each pair is verified once, on the whole sets.
 
 Rare-first order: grams that many documents share are found by counts over all
 documents and ordered last by frequency; the others are ordered by hash.  The
@@ -52,7 +52,7 @@ LOCAL_REPEATS = 2  # a gram is counted where this many documents of one slice ho
 FREQUENT = 1 << 18  # entries of the table of frequent grams
 RANGE_ROWS = 700_000  # prefix grams that meet in one range
 PAIRS_AT_ONCE = 1_000_000  # pairs verified in one group before it is split
-RUN_SIZE = 128  # sets so large share two grams in a row
+SHARED = 8  # shared grams that are counted of a pair
 SLICE = 8 << 20
 
 
@@ -126,7 +126,7 @@ def _unplanes(data, at: int, n: int, kind) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(g: np.ndarray, splits: np.ndarray, hot: np.ndarray, rank: np.ndarray, threshold: float):
-    """(row, place in the order, gram, hashes of the grams beside it) of all prefix grams, row by row in order."""
+    """(row, place in the order, gram) of all prefix grams, row by row in order."""
     size = np.diff(splits)
     rows = len(size)
     row = per_row(g, splits)
@@ -150,12 +150,7 @@ def _prefixes(g: np.ndarray, splits: np.ndarray, hot: np.ndarray, rank: np.ndarr
     out_g[start[row[inside]] + place[inside]] = g[inside]
     out_row = np.repeat(np.arange(rows), length)
     out_place = np.arange(start[-1]) - start[:-1][out_row]
-    # 24 bits of the gram before and 8 of the one after, in the order
-    mixed = mix(out_g)
-    beside = np.zeros(len(out_g), np.uint32)
-    beside[1:] = (mixed[:-1] & np.uint64(0xFFFFFF)).astype(np.uint32)
-    beside[:-1] |= (mixed[1:] >> np.uint64(56)).astype(np.uint32) << np.uint32(24)
-    return out_row, out_place, out_g, beside
+    return out_row, out_place, out_g
 
 
 def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges: int):
@@ -175,12 +170,12 @@ def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges:
             packed = ((quarters & 255) << np.array([0, 8, 16, 24])).sum(axis=1).astype(np.uint32)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g))))
             sig = mix((sums[splits[1:]] - sums[splits[:-1]]) ^ size.astype(np.uint64))
-            p_row, place, p_g, beside = _prefixes(g, splits, hot, rank, threshold)
+            p_row, place, p_g = _prefixes(g, splits, hot, rank, threshold)
             some = np.flatnonzero(size > 0)
             # a document's whole set stands as one more gram, in a place of its own
             p_row, place = np.concatenate((p_row, some)), np.concatenate((place, np.full(len(some), -1)))
-            p_g, beside = np.concatenate((p_g, sig[some])), np.concatenate((beside, np.zeros(len(some), np.uint32)))
-            held.append((part.column("doc_id").to_numpy(), size, packed, (sig >> np.uint64(32)).astype(np.uint32), p_row + docs_held, place, p_g, beside))
+            p_g = np.concatenate((p_g, sig[some]))
+            held.append((part.column("doc_id").to_numpy(), size, packed, (sig >> np.uint64(32)).astype(np.uint32), p_row + docs_held, place, p_g))
             docs_held += part.num_rows
             if sum(len(x[4]) for x in held) >= RANGE_ROWS:
                 yield from _pack(held, ranges)
@@ -192,10 +187,10 @@ def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges:
 
 
 def _pack(held: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
-    ids, size, quarters, sig, row, place, g, beside = (np.concatenate(x) for x in zip(*held))
+    ids, size, quarters, sig, row, place, g = (np.concatenate(x) for x in zip(*held))
     g48 = g >> np.uint64(16)
     order = np.argsort(g48)
-    row, place, g48, beside = row[order], place[order], g48[order], beside[order]
+    row, place, g48 = row[order], place[order], g48[order]
     which = (g48 * np.uint64(ranges) >> np.uint64(48)).astype(np.int64) if ranges < 1 << 16 else (g48 // np.uint64((1 << 48) // ranges + 1)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
     names, blobs = [], []
@@ -206,7 +201,7 @@ def _pack(held: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
         step = np.diff(g48[a:b], prepend=np.uint64(0))
         blobs.append(b"".join((
             np.array([len(docs), b - a], np.int64).tobytes(), _planes(ids[docs].astype(np.int64)), _planes(size[docs].astype(np.uint32)), _planes(quarters[docs]), _planes(sig[docs]),
-            _planes(step), _planes(local[row[a:b]]), _planes((place[a:b] + 1).astype(np.uint32)), _planes(beside[a:b]),
+            _planes(step), _planes(local[row[a:b]]), _planes((place[a:b] + 1).astype(np.uint32)),
         )))
         names.append(int(which[a]))
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.large_binary() if sum(map(len, blobs)) > 1 << 30 else pa.binary())], names=["part", "block"])
@@ -221,16 +216,15 @@ def _unpack(blob) -> tuple[np.ndarray, ...]:
     step, at = _unplanes(blob, at, rows, np.uint64)
     local, at = _unplanes(blob, at, rows, np.uint32)
     place, at = _unplanes(blob, at, rows, np.uint32)
-    beside, at = _unplanes(blob, at, rows, np.uint32)
-    return ids, size.astype(np.int64), quarters, sig, np.cumsum(step), local.astype(np.int64), place.astype(np.int64) - 1, beside
+    return ids, size.astype(np.int64), quarters, sig, np.cumsum(step), local.astype(np.int64), place.astype(np.int64) - 1
 
 
-def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower id, higher id, gram) of the pairs that pass the filters within one range."""
+def candidates_of(blobs: list, threshold: float, shared: int) -> tuple[np.ndarray, ...]:
+    """(lower id, higher id, shared grams, shared grams needed in all ranges) of the pairs that pass the filters within one range."""
     parts = [_unpack(b) for b in blobs]
     base = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
     ids, size, quarters, sig = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    g, place, beside = (np.concatenate([p[i] for p in parts]) for i in (4, 6, 7))
+    g, place = (np.concatenate([p[i] for p in parts]) for i in (4, 6))
     doc = np.concatenate([p[5] + o for p, o in zip(parts, base)])
     out: list[tuple] = []
 
@@ -241,7 +235,7 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
         first = np.concatenate(([True], g[w][1:] != g[w][:-1]))
         lead = ids[doc[w]][np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))]
         other = lead != ids[doc[w]]
-        out.append((lead[other], ids[doc[w]][other], g[w][other]))
+        out.append((lead[other], ids[doc[w]][other], np.ones(other.sum(), np.int16)))
 
     t = np.flatnonzero(~whole)
     # within a gram: by size, then by set, then by id; only the lowest id of each set remains
@@ -259,7 +253,7 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
         again[1:] = (g[t][1:] == g[t][:-1]) & (size[d][1:] == size[d][:-1]) & (sig[d][1:] == sig[d][:-1]) & (quarters[d][1:] == quarters[d][:-1])
         t = t[~again]
         d = doc[t]
-    gt, st, pt, bt, qt, it = g[t], size[d], place[t], beside[t], quarters[d], ids[d]
+    gt, st, pt, qt, it = g[t], size[d], place[t], quarters[d], ids[d]
     active, offset = np.arange(len(t)), 1
     while len(active):
         active = active[active + offset < len(t)]
@@ -269,29 +263,27 @@ def candidates_of(blobs: list, threshold: float) -> tuple[np.ndarray, np.ndarray
         b = a + offset
         offset += 1
         need = np.ceil(threshold / (1 + threshold) * (st[a] + st[b]) - 1e-9).astype(np.int64)
-        ok = 1 + np.minimum(st[a] - pt[a], st[b] - pt[b]) - 1 >= need
-        differ = bt[a] ^ bt[b]
-        ok &= (pt[a] == 0) | (pt[b] == 0) | (differ & np.uint32(0xFFFFFF) != 0)
-        ok &= (np.minimum(st[a], st[b]) < RUN_SIZE) | (differ >> np.uint32(24) == 0)
+        q = np.clip(need - _least(st[b], threshold) + 1, 1, shared)
+        ok = np.minimum(st[a] - pt[a], st[b] - pt[b]) + q - 1 >= need
         ok &= it[a] != it[b]
-        a, b, need = a[ok], b[ok], need[ok]
+        a, b, need, q = a[ok], b[ok], need[ok], q[ok]
         gap = np.zeros(len(a), np.int64)
         for shift in (0, 8, 16, 24):
             x = ((qt[a] >> np.uint32(shift)).astype(np.int64) - (qt[b] >> np.uint32(shift)).astype(np.int64)) & 255
             gap += np.minimum(x, 256 - x)
         ok = gap <= st[a] + st[b] - 2 * need
-        a, b = a[ok], b[ok]
+        a, b, q = a[ok], b[ok], q[ok]
         if len(a):
-            out.append((np.minimum(it[a], it[b]), np.maximum(it[a], it[b]), gt[a]))
+            out.append((np.minimum(it[a], it[b]), np.maximum(it[a], it[b]), q.astype(np.int16)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, high, gram = (np.concatenate(x) for x in zip(*out))
-    # the lowest shared gram of each pair of this range
-    order = np.lexsort((gram, high, low))
-    low, high, gram = low[order], high[order], gram[order]
-    keep = np.ones(len(low), bool)
-    keep[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return low[keep], high[keep], gram[keep].view(np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16)
+    low, high, q = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((q, high, low))
+    low, high, q = low[order], high[order], q[order]
+    first = np.ones(len(low), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    at = np.flatnonzero(first)
+    return low[at], high[at], np.minimum(np.diff(np.append(at, len(low))), shared).astype(np.int16), q[at]
 
 
 def candidate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -299,11 +291,14 @@ def candidate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     hot, rank, total = _frequent(docs, n)
     ranges = max(1, round(total * (1 - threshold) / RANGE_ROWS))
 
+    shared = SHARED
+
     def meet(rows: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("a", "b"), candidates_of([x.as_buffer() for x in rows["block"]], threshold))))
+        return pa.table(dict(zip(("a", "b", "c", "q"), candidates_of([x.as_buffer() for x in rows["block"]], threshold, shared))))
 
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(n, threshold, hot, rank, ranges), "part bigint, block binary")
-    return blocks.groupBy("part").applyInArrow(meet, "a bigint, b bigint").distinct()
+    met = blocks.groupBy("part").applyInArrow(meet, "a bigint, b bigint, c smallint, q smallint")
+    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("q").alias("q")).where("c >= q").select("a", "b")
 
 
 def _verify(n: int, threshold: float):

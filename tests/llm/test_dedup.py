@@ -109,6 +109,26 @@ def test_ranges_and_splits_find_the_same(docs_of, monkeypatch):
     assert got == brute(rows, J.THRESHOLD)
 
 
+def test_pairs_near_the_threshold_are_found_among_larger_sets(docs_of, monkeypatch):
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    r = random.Random(5)
+    rows = []
+    for d in range(0, 300, 2):
+        size = r.randrange(130, 500)
+        words = [f"v{r.randrange(10**9)}" for _ in range(size)]
+        if d % 3:  # a text and its extension
+            other = words + [f"v{r.randrange(10**9)}" for _ in range(int(size * r.uniform(0.54, 0.66)))]
+        else:  # a copy with edits all over
+            other = list(words)
+            for i in r.sample(range(size), size // 9):
+                other[i] = f"v{r.randrange(10**9)}"
+        rows += [(d, " ".join(words)), (d + 1, " ".join(other))]
+    got = {(x.doc_a, x.doc_b, x.jaccard) for x in J.similar_pairs(docs_of(rows)).collect()}
+    want = brute(rows, J.THRESHOLD)
+    assert sum(j < 0.65 for _, _, j in want) > 80
+    assert got == want
+
+
 def test_groups_are_connected_components(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6), (7, 9), (20, 21)] + [(100 + i, 101 + i) for i in range(40)], "doc_a bigint, doc_b bigint")
     want = {(2, 1), (3, 1), (7, 1), (9, 1), (6, 5), (21, 20)} | {(101 + i, 100) for i in range(40)}
