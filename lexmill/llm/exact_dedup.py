@@ -146,17 +146,18 @@ def drop_duplicates(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE) -> Da
     prints = durable(fingerprints(docs, chunk, huge))
     gone = durable(duplicates(docs, chunk, huge, prints).select("doc_id"))
     again = durable(prints.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # a null text equals nothing: such rows stay, whatever becomes of others with their id
+    bare, docs = docs.where("text is null"), docs.where("text is not null")
     if again.isEmpty():
-        return without_ids(docs, gone)
+        return without_ids(docs, gone).unionByName(bare)
     # ids that occur more than once name several rows: those rows are decided by id and text together
     single = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(docs.columns)
     several = docs.join(again, "doc_id", "left_semi").select(docs.columns)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(
+    texts = docs.where("doc_id is not null").select("doc_id", "text").join(
         prints.join(again.join(prints, "doc_id").select("len", "fp").distinct(), ["len", "fp"], "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
     lowest = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    bare = several.where("text is null")
-    kept = several.where("text is not null").join(lowest, ["doc_id", "text"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(bare.select(docs.columns).dropDuplicates()).unionByName(kept.select(docs.columns))
+    kept = several.join(lowest, ["doc_id", "text"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(bare).unionByName(kept.select(docs.columns))
 
 
 SQL = """

@@ -52,6 +52,13 @@ def test_drop_duplicates_keeps_one_of_each(docs_of):
     assert E.drop_duplicates(docs.limit(0)).count() == 0 and E.duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_texts_stay_beside_removed_copies(docs_of):
+    rows = [(1, "x"), (5, "x"), (5, None), (5, None)]
+    for more in ([], [(8, "y"), (8, "z"), (8, None), (8, None)]):  # with and without an id of two texts
+        got = [(r.doc_id, r.text) for r in E.drop_duplicates(docs_of(rows + more)).collect()]
+        assert sorted(got, key=str) == sorted([(1, "x"), (5, None), (5, None)] + more, key=str)
+
+
 def grams(text, n=J.N):
     w = re.findall(r"(?:[0-9a-z_]|[^\x00-\x7f])+", text.lower())
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
