@@ -1,4 +1,4 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
+"""Documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: their classes and links.
 
 The grams of all documents are put in one order, rare before frequent.  Two sets
 that reach the threshold share a gram among their first
@@ -15,22 +15,31 @@ hashes, and the blocks of a range meet.  There a pair must pass
 and the grams that pass are counted over all ranges.  A pair whose sets of sizes
 ``a <= b`` share at least ``need`` grams shares ``need - ceil(threshold * b) + 1``
 of them in the two prefixes, whatever the order is; ``q`` is that number,
-``SHARED`` at most, and a pair that passes with fewer grams is none.  Pairs are
-then connected into groups, and every document's text goes once to its group;
-there each pair is verified once, on the whole sets.
+``SHARED`` at most, and a pair that passes with fewer grams is none.  Each pair
+that is left is verified once, on the whole sets, in a group that holds the
+texts of its neighbours as well.
 
 Rare-first order: grams that many documents share are found by counts over all
 documents and ordered last by frequency; the others are ordered by hash.  The
 table of frequent grams has a fixed size, since it decides only what is cheap:
 any order finds every pair.
 
-Documents with identical sets are joined once: the one of lowest ``doc_id``
-stands for them in all further pairs, and each of the others is paired with it.
-
-Defined results: rows with a null ``doc_id`` or text and texts without a word
-are in no pair; a text of fewer than ``n`` words has one gram, of all its words;
-rows that share a ``doc_id`` are never paired with each other, and the more
-similar one counts.  Extra columns are ignored.
+No group of copies is expanded into its pairs.  Documents with identical sets
+are one, of lowest ``doc_id``.  Sets that agree in two of their least hashes with
+``BALL`` others or more are compared with the lowest of these, their leader: by the
+triangle inequality of the Jaccard distance two sets at distances ``x`` and ``y``
+from it are similar for certain if ``x + y <= 1 - threshold``.  Such pairs are
+counted by a histogram of distances (in steps of 1/``STEPS``, rounded up) and never
+built; all other pairs are found and verified one by one.
+
+Defined results: one row (doc_id, class_id, links) for every document with a
+partner.  ``links`` is the number of other documents whose similarity reaches the
+threshold, ``class_id`` the lowest ``doc_id`` that can be reached through links.
+Rows with a null ``doc_id`` or text and texts without a word have no partner; a
+text of fewer than ``n`` words has one gram, of all its words; repeated rows are
+one document, and of different texts under one ``doc_id`` the one that sorts last
+stands for it.  Ids must be integers (else a TypeError).  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,17 +52,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, durable, id_bitmap, maybe_in, row_slices, without_ids
+from ._common import byte_sizes, durable, frugal, give_back, id_bitmap, maybe_in, row_slices, stored, without_ids
 from ._text import mix, ngrams, per_row, words
 
 N = 2
 THRESHOLD = 0.6
 LOCAL_REPEATS = 2  # a gram is counted where this many documents of one slice hold it
 FREQUENT = 1 << 18  # entries of the table of frequent grams
-RANGE_ROWS = 700_000  # prefix grams that meet in one range
-PAIRS_AT_ONCE = 1_000_000  # pairs verified in one group before it is split
+RANGE_ROWS = 500_000  # prefix grams that meet in one range
+HOT_GRAM = 1 << 20  # a gram of more documents is split, each part meeting each other one
+PAIRS_AT_ONCE = 30_000  # pairs verified in one group before it is split
+COMPARED = 1 << 20  # pairs of one range compared at once
 SHARED = 8  # shared grams that are counted of a pair
-SLICE = 8 << 20
+KEYS = 4  # pairs of least hashes by which large groups are seen
+BALL = 16  # sets that share such a pair before they are compared with a leader
+BALL_TASK = 2_000  # sets compared with a leader in one task
+STEPS = 1024
+SLICE = 4 << 20
 
 
 def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,35 +94,64 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa
             yield part if pc.all(known).as_py() or not part.num_rows else part.filter(known)
 
 
-def _count_frequent(n: int):
+def _signatures(g: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's set."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g))))
+    return mix((sums[splits[1:]] - sums[splits[:-1]]) ^ np.diff(splits).astype(np.uint64))
+
+
+def _keys(g: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """``KEYS`` hashes of each row, each of the least grams of two hash ranges; 0 where both are empty."""
+    rows, bins = len(splits) - 1, 2 * KEYS
+    row = per_row(g, splits)
+    which = ((g >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    first = np.ones(len(g), bool)
+    first[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1])
+    least = np.zeros((rows, bins), np.uint64)
+    least[row[first], which[first]] = g[first]
+    a, b = least[:, ::2], least[:, 1::2]
+    keys = mix((a * np.uint64(0x9E3779B97F4A7C15) ^ mix(b + np.uint64(1))) + np.arange(KEYS, dtype=np.uint64)) | np.uint64(1)
+    keys[(a == 0) & (b == 0)] = 0
+    return keys
+
+
+def _scan(n: int):
+    """Two kinds of rows: a document's signature, size and keys; a gram and its documents in one slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            g, _ = _sets(part.column("text"), n)
-            total = len(g)
+            g, splits = _sets(part.column("text"), n)
+            size = np.diff(splits)
+            some = np.flatnonzero(size > 0)
+            if not len(some):
+                continue
             key = np.sort(g)
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if total else np.zeros(0, np.int64)
-            count = np.diff(np.append(edge, total))
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.append(edge, len(key)))
             often = count >= LOCAL_REPEATS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(key[edge[often]].view(np.int64), 0), mask=np.append(np.zeros(often.sum(), bool), True)), pa.array(np.append(count[often], total))],
-                names=["g", "c"],
-            )
+            keys = _keys(g, splits)[some].view(np.int64)
+            none = lambda k: pa.nulls(k, pa.int64())
+            docs = [part.column("doc_id").take(pa.array(some)), pa.array(_signatures(g, splits)[some].view(np.int64)), pa.array(size[some]), *(pa.array(keys[:, i].copy()) for i in range(KEYS))]
+            yield pa.RecordBatch.from_arrays([none(len(some)), none(len(some)), *docs], names=_SCANNED)
+            grams = [pa.array(key[edge[often]].view(np.int64)), pa.array(count[often])]
+            yield pa.RecordBatch.from_arrays([*grams, *(none(int(often.sum())) for _ in docs)], names=_SCANNED)
 
-    return run
+    return frugal(run)
+
+
+_SCANNED = ["g", "c", "doc_id", "sig", "size", *(f"k{i}" for i in range(KEYS))]
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted frequent grams, their ranks (1 = least frequent), and the number of grams of all documents."""
-    counts = docs.select("doc_id", "text").mapInArrow(_count_frequent(n), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "g").limit(FREQUENT + 1).toArrow()  # the number of all grams stands first, under null
-    total = pc.sum(top["c"].filter(pc.is_null(top["g"]))).as_py() or 0
-    top = top.filter(pc.is_valid(top["g"]))
+def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted frequent grams, their ranks (1 = least frequent), and into how many parts each is split."""
+    counts = scanned.where("g is not null").groupBy("g").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "g").limit(FREQUENT).toArrow()
     g, c = top["g"].to_numpy().view(np.uint64), top["c"].to_numpy()
     by_count = np.lexsort((g, c))
     rank = np.empty(len(g), np.int64)
     rank[by_count] = np.arange(1, len(g) + 1)
     order = np.argsort(g)
-    return g[order], rank[order], int(total)
+    return g[order], rank[order], -(-c[order] // HOT_GRAM)
 
 
 def _least(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -153,130 +197,238 @@ def _prefixes(g: np.ndarray, splits: np.ndarray, hot: np.ndarray, rank: np.ndarr
     return out_row, out_place, out_g
 
 
-def _blocks(n: int, threshold: float, hot: np.ndarray, rank: np.ndarray, ranges: int):
-    """Packs the prefix grams of a batch into one block per range of gram hashes."""
+def _limit(threshold: float) -> int:
+    """Distances in steps that add up to this at most are those of similar sets."""
+    return int(np.floor((1 - threshold) * STEPS + 1e-9))
+
+
+class _Packer:
+    """Collects prefix grams and packs them into a block per range of gram hashes."""
+
+    def __init__(self, threshold: float, hot: np.ndarray, rank: np.ndarray, ways: np.ndarray, ranges: int):
+        self.threshold, self.hot, self.rank, self.ranges = threshold, hot, rank, ranges
+        self.split, self.ways = hot[ways > 1], ways[ways > 1]
+        self.held: list[tuple] = []
+        self.docs = self.grams = 0
+
+    def add(self, ids: np.ndarray, g: np.ndarray, splits: np.ndarray, ball: np.ndarray, step: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of sets; ``ball``: the leader's id or -1, ``step``: the distance from it."""
+        size = np.diff(splits)
+        row = per_row(g, splits)
+        quarters = np.zeros((len(size), 4), np.int64)
+        np.add.at(quarters.reshape(-1), row * 4 + (g >> np.uint64(62)).astype(np.int64), 1)
+        packed = ((quarters & 255) << np.array([0, 8, 16, 24])).sum(axis=1).astype(np.uint32)
+        p_row, place, p_g = _prefixes(g, splits, self.hot, self.rank, self.threshold)
+        if len(self.split):
+            p_row, place, p_g = self._spread(ids, p_row, place, p_g)
+        self.held.append((ids, size, packed, _signatures(g, splits), ball, step, p_row + self.docs, place, p_g))
+        self.docs += len(ids)
+        self.grams += len(p_g)
+        if self.grams >= RANGE_ROWS:
+            yield self.pack()
+
+    def _spread(self, ids: np.ndarray, row: np.ndarray, place: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A gram of very many documents becomes a gram for each pair of its parts, so that no task holds all of them."""
+        at = np.minimum(np.searchsorted(self.split, g), len(self.split) - 1)
+        w = np.where(self.split[at] == g, self.ways[at], 1)
+        every = np.repeat(np.arange(len(g)), w)
+        other = np.arange(len(every)) - np.repeat(np.cumsum(w) - w, w)
+        own = (mix(ids[row[every]].astype(np.uint64)) % w[every].astype(np.uint64)).astype(np.int64)
+        cell = (np.minimum(own, other) * w[every] + np.maximum(own, other)).astype(np.uint64)
+        return row[every], place[every], np.where(w[every] > 1, mix(g[every] + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), g[every])
+
+    def pack(self) -> pa.RecordBatch:
+        ids, size, quarters, sig, ball, step, row, place, g = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.docs, self.grams = [], 0, 0
+        # of equal sets only the lowest id goes on
+        order = np.lexsort((ids, size, sig))
+        first = np.ones(len(order), bool)
+        first[1:] = (sig[order][1:] != sig[order][:-1]) | (size[order][1:] != size[order][:-1])
+        keep = np.zeros(len(ids), bool)
+        keep[order[first]] = True
+        keep = keep[row]
+        row, place, g = row[keep], place[keep], g[keep]
+        g48 = g >> np.uint64(16)
+        order = np.argsort(g48)
+        row, place, g48 = row[order], place[order], g48[order]
+        which = (g48 * np.uint64(self.ranges) >> np.uint64(48)).astype(np.int64) if self.ranges < 1 << 16 else (g48 // np.uint64((1 << 48) // self.ranges + 1)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
+        names, blobs = [], []
+        local = np.empty(len(ids), np.uint32)
+        for a, b in zip(edges, np.append(edges[1:], len(which))):
+            docs = np.unique(row[a:b])
+            local[docs] = np.arange(len(docs), dtype=np.uint32)
+            gap = np.diff(g48[a:b], prepend=np.uint64(0))
+            blobs.append(b"".join((
+                np.array([len(docs), b - a], np.int64).tobytes(), _planes(ids[docs].astype(np.int64)), _planes(size[docs].astype(np.uint32)), _planes(quarters[docs]), _planes(sig[docs]),
+                _planes(ball[docs].astype(np.int64)), _planes(step[docs].astype(np.uint16)), _planes(gap), _planes(local[row[a:b]]), _planes(place[a:b].astype(np.uint32)),
+            )))
+            names.append(int(which[a]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.large_binary() if sum(map(len, blobs)) > 1 << 30 else pa.binary())], names=["part", "block"])
+
+
+def _alone(n: int, *packing):
+    """Blocks of documents that no leader was found for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        docs_held = 0
+        packer = _Packer(*packing)
         for part in _parts(batches):
-            if not part.num_rows:
-                continue
-            g, splits = _sets(part.column("text"), n)
-            size = np.diff(splits)
-            row = per_row(g, splits)
-            quarters = np.zeros((len(size), 4), np.int64)
-            np.add.at(quarters.reshape(-1), row * 4 + (g >> np.uint64(62)).astype(np.int64), 1)
-            packed = ((quarters & 255) << np.array([0, 8, 16, 24])).sum(axis=1).astype(np.uint32)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g))))
-            sig = mix((sums[splits[1:]] - sums[splits[:-1]]) ^ size.astype(np.uint64))
-            p_row, place, p_g = _prefixes(g, splits, hot, rank, threshold)
-            some = np.flatnonzero(size > 0)
-            # a document's whole set stands as one more gram, in a place of its own
-            p_row, place = np.concatenate((p_row, some)), np.concatenate((place, np.full(len(some), -1)))
-            p_g = np.concatenate((p_g, sig[some]))
-            held.append((part.column("doc_id").to_numpy(), size, packed, (sig >> np.uint64(32)).astype(np.uint32), p_row + docs_held, place, p_g))
-            docs_held += part.num_rows
-            if sum(len(x[4]) for x in held) >= RANGE_ROWS:
-                yield from _pack(held, ranges)
-                held, docs_held = [], 0
-        if held:
-            yield from _pack(held, ranges)
+            if part.num_rows:
+                g, splits = _sets(part.column("text"), n)
+                yield from packer.add(part.column("doc_id").to_numpy(), g, splits, np.full(part.num_rows, -1), np.zeros(part.num_rows, np.int64))
+        if packer.held:
+            yield packer.pack()
 
-    return run
+    return frugal(run)
 
 
-def _pack(held: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
-    ids, size, quarters, sig, row, place, g = (np.concatenate(x) for x in zip(*held))
-    g48 = g >> np.uint64(16)
-    order = np.argsort(g48)
-    row, place, g48 = row[order], place[order], g48[order]
-    which = (g48 * np.uint64(ranges) >> np.uint64(48)).astype(np.int64) if ranges < 1 << 16 else (g48 // np.uint64((1 << 48) // ranges + 1)).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
-    names, blobs = [], []
-    local = np.empty(len(ids), np.uint32)
-    for a, b in zip(edges, np.append(edges[1:], len(which))):
-        docs = np.unique(row[a:b])
-        local[docs] = np.arange(len(docs), dtype=np.uint32)
-        step = np.diff(g48[a:b], prepend=np.uint64(0))
-        blobs.append(b"".join((
-            np.array([len(docs), b - a], np.int64).tobytes(), _planes(ids[docs].astype(np.int64)), _planes(size[docs].astype(np.uint32)), _planes(quarters[docs]), _planes(sig[docs]),
-            _planes(step), _planes(local[row[a:b]]), _planes((place[a:b] + 1).astype(np.uint32)),
-        )))
-        names.append(int(which[a]))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.large_binary() if sum(map(len, blobs)) > 1 << 30 else pa.binary())], names=["part", "block"])
+def _share(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0.0
+    where = np.searchsorted(y, x)
+    where[where == len(y)] = 0
+    both = int((y[where] == x).sum())
+    return both / (len(x) + len(y) - both)
 
 
-def _unpack(blob) -> tuple[np.ndarray, ...]:
-    docs, rows = np.frombuffer(blob, np.int64, 2)
-    ids, at = _unplanes(blob, 16, docs, np.int64)
-    size, at = _unplanes(blob, at, docs, np.uint32)
-    quarters, at = _unplanes(blob, at, docs, np.uint32)
-    sig, at = _unplanes(blob, at, docs, np.uint32)
-    step, at = _unplanes(blob, at, rows, np.uint64)
-    local, at = _unplanes(blob, at, rows, np.uint32)
-    place, at = _unplanes(blob, at, rows, np.uint32)
-    return ids, size.astype(np.int64), quarters, sig, np.cumsum(step), local.astype(np.int64), place.astype(np.int64) - 1
+def _led(n: int, threshold: float, *packing):
+    """Blocks of documents that stand behind their leader's text, and a row of part -1 for each of them that is near it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, limit = _Packer(threshold, *packing), _limit(threshold)
+        at, leader = None, np.zeros(0, np.uint64)
+        near: list[tuple[int, int, int]] = []
+        for part in _parts(batches):
+            if not part.num_rows:
+                continue
+            g, splits = _sets(part.column("text"), n)
+            ids = part.column("doc_id").to_numpy()
+            lead, salt, is_leader = (part.column(c).to_pylist() for c in ("lead", "salt", "is_leader"))
+            ball, step = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+            for i in range(len(ids)):
+                own = g[splits[i] : splits[i + 1]]
+                if lead[i] is None:
+                    continue
+                if is_leader[i]:
+                    at, leader = (lead[i], salt[i]), own.copy()
+                elif at == (lead[i], salt[i]) and (share := _share(own, leader)) >= threshold:
+                    far = int(np.ceil((1 - share) * STEPS - 1e-9))
+                    if far <= limit:
+                        ball[i], step[i] = lead[i], far
+                        near.append((lead[i], int(ids[i]), far))
+            member = np.array([not x for x in is_leader])
+            if member.any():
+                size = np.diff(splits)
+                yield from packer.add(ids[member], g[np.repeat(member, size)], np.concatenate(([0], np.cumsum(size[member]))), ball[member], step[member])
+        if packer.held:
+            yield packer.pack()
+        if near:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - (near[0][0] % 1021)], pa.int64()), pa.array([np.array(near, np.int64).tobytes()], pa.binary())], names=["part", "block"])
+
+    return frugal(run)
 
 
-def candidates_of(blobs: list, threshold: float, shared: int) -> tuple[np.ndarray, ...]:
+def _unpack(blob) -> tuple[np.ndarray, ...]:
+    docs, rows = np.frombuffer(blob, np.int64, 2)
+    out, at = [], 16
+    for count, kind in ((docs, np.int64), (docs, np.uint32), (docs, np.uint32), (docs, np.uint64), (docs, np.int64), (docs, np.uint16), (rows, np.uint64), (rows, np.uint32), (rows, np.uint32)):
+        x, at = _unplanes(blob, at, count, kind)
+        out.append(x)
+    ids, size, quarters, sig, ball, step, gap, local, place = out
+    return ids, size.astype(np.int64), quarters, sig, ball, step.astype(np.int64), np.cumsum(gap), local.astype(np.int64), place.astype(np.int64)
+
+
+def _pairs(first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of ``first`` with ``lo`` to ``hi``, ``COMPARED`` or so at once."""
+    count = np.maximum(hi - lo, 0)
+    some = np.flatnonzero(count)
+    first, lo, count = first[some], lo[some], count[some]
+    for at, to in row_slices(count, COMPARED):
+        c = count[at:to]
+        a = np.repeat(first[at:to], c)
+        yield a, np.repeat(lo[at:to] - (np.cumsum(c) - c), c) + np.arange(len(a))
+
+
+def candidates_of(blobs: list, threshold: float, shared: int = SHARED) -> tuple[np.ndarray, ...]:
     """(lower id, higher id, shared grams, shared grams needed in all ranges) of the pairs that pass the filters within one range."""
     parts = [_unpack(b) for b in blobs]
     base = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
-    ids, size, quarters, sig = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    g, place = (np.concatenate([p[i] for p in parts]) for i in (4, 6))
-    doc = np.concatenate([p[5] + o for p, o in zip(parts, base)])
-    out: list[tuple] = []
-
-    whole = place < 0
-    w = np.flatnonzero(whole)
-    w = w[np.lexsort((ids[doc[w]], g[w]))]
-    if len(w):
-        first = np.concatenate(([True], g[w][1:] != g[w][:-1]))
-        lead = ids[doc[w]][np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))]
-        other = lead != ids[doc[w]]
-        out.append((lead[other], ids[doc[w]][other], np.ones(other.sum(), np.int16)))
-
-    t = np.flatnonzero(~whole)
-    # within a gram: by size, then by set, then by id; only the lowest id of each set remains
-    # grams held once have no partner and needn't be sorted further
-    t = t[np.argsort(g[t])]
-    gt = g[t]
+    ids, size, quarters, sig, ball, step = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    g, place = (np.concatenate([p[i] for p in parts]) for i in (6, 8))
+    doc = np.concatenate([p[7] + o for p, o in zip(parts, base)])
+    del parts
+    # grams held once have no partner
+    t = np.argsort(g)
     same = np.zeros(len(t) + 1, bool)
-    same[1:-1] = gt[1:] == gt[:-1]
+    same[1:-1] = g[t][1:] == g[t][:-1]
     t = t[same[:-1] | same[1:]]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16)
+    if not len(t):
+        return none
+    # of equal sets only the lowest id, which is the one that may be in a ball
+    t = t[np.lexsort((ids[doc[t]], sig[doc[t]], g[t]))]
+    d = doc[t]
+    again = np.zeros(len(t), bool)
+    again[1:] = (g[t][1:] == g[t][:-1]) & (sig[d][1:] == sig[d][:-1]) & (size[d][1:] == size[d][:-1])
+    t = t[~again]
     d = doc[t]
-    t = t[np.lexsort((ids[d], sig[d], quarters[d], size[d], g[t]))]
+    # within a gram: balls, by distance in each; then the others by size
+    in_ball = ball[d] >= 0
+    t = t[np.lexsort((np.where(in_ball, step[d], size[d]), np.where(in_ball, ball[d], np.iinfo(np.int64).max), g[t]))]
     d = doc[t]
-    if len(t):
-        again = np.zeros(len(t), bool)
-        again[1:] = (g[t][1:] == g[t][:-1]) & (size[d][1:] == size[d][:-1]) & (sig[d][1:] == sig[d][:-1]) & (quarters[d][1:] == quarters[d][:-1])
-        t = t[~again]
-        d = doc[t]
-    gt, st, pt, qt, it = g[t], size[d], place[t], quarters[d], ids[d]
-    active, offset = np.arange(len(t)), 1
-    while len(active):
-        active = active[active + offset < len(t)]
-        a, b = active, active + offset
-        near = (gt[a] == gt[b]) & (st[a] >= threshold * st[b] - 1e-9)
-        active = a = active[near]
-        b = a + offset
-        offset += 1
-        need = np.ceil(threshold / (1 + threshold) * (st[a] + st[b]) - 1e-9).astype(np.int64)
-        q = np.clip(need - _least(st[b], threshold) + 1, 1, shared)
-        ok = np.minimum(st[a] - pt[a], st[b] - pt[b]) + q - 1 >= need
-        ok &= it[a] != it[b]
-        a, b, need, q = a[ok], b[ok], need[ok], q[ok]
-        gap = np.zeros(len(a), np.int64)
-        for shift in (0, 8, 16, 24):
-            x = ((qt[a] >> np.uint32(shift)).astype(np.int64) - (qt[b] >> np.uint32(shift)).astype(np.int64)) & 255
-            gap += np.minimum(x, 256 - x)
-        ok = gap <= st[a] + st[b] - 2 * need
-        a, b, q = a[ok], b[ok], q[ok]
-        if len(a):
-            out.append((np.minimum(it[a], it[b]), np.maximum(it[a], it[b]), q.astype(np.int16)))
+    gt, st, pt, qt, it, bt, dt = g[t], size[d], place[t], quarters[d], ids[d], ball[d], step[d]
+    del g, place, doc, t, d
+    n = len(gt)
+    new = np.ones(n, bool)
+    new[1:] = gt[1:] != gt[:-1]
+    gram = np.cumsum(new) - 1
+    ends = np.append(np.flatnonzero(new)[1:], n)
+    lone = bt < 0
+    lones = np.flatnonzero(lone)
+    starts_lone = ends - np.bincount(gram[lones], minlength=len(ends))  # where the others begin in each gram
+    by_size = (gram[lones] << 32) | st[lones]
+
+    def sized(key: np.ndarray, side: str) -> np.ndarray:
+        at = np.searchsorted(by_size, key, side=side)
+        return np.where(at < len(lones), lones[np.minimum(at, len(lones) - 1)], n) if len(lones) else np.full(len(key), n)
+
+    longest = np.floor(st / threshold + 1e-9).astype(np.int64)
+    spans = [(lones, lones + 1, np.minimum(sized((gram[lones] << 32) | longest[lones], "right"), ends[gram[lones]]))]
+    led = np.flatnonzero(~lone)
+    if len(led):
+        seg = np.ones(len(led), bool)
+        seg[1:] = (gram[led][1:] != gram[led][:-1]) | (bt[led][1:] != bt[led][:-1]) | (np.diff(led) != 1)
+        which = np.cumsum(seg) - 1
+        seg_end = led[np.append(np.flatnonzero(seg)[1:], len(led)) - 1] + 1
+        by_step = (which << 16) | dt[led]
+        from_ = np.searchsorted(by_step, (which << 16) | (_limit(threshold) - dt[led]), side="right")
+        from_ = np.where(from_ < len(led), led[np.minimum(from_, len(led) - 1)], n)
+        spans.append((led, np.maximum(led + 1, from_), seg_end[which]))  # uncertain pairs of one ball
+        spans.append((led, seg_end[which], starts_lone[gram[led]]))  # other balls
+        low = np.maximum(sized((gram[led] << 32) | _least(st[led], threshold), "left"), starts_lone[gram[led]])
+        spans.append((led, low, np.minimum(sized((gram[led] << 32) | longest[led], "right"), ends[gram[led]])))
+    out: list[tuple] = []
+    for span in spans:
+        for a, b in _pairs(*span):
+            sa, sb = st[a], st[b]
+            small, large = np.minimum(sa, sb), np.maximum(sa, sb)
+            need = np.ceil(threshold / (1 + threshold) * (sa + sb) - 1e-9).astype(np.int64)
+            q = np.clip(need - _least(large, threshold) + 1, 1, shared)
+            ok = (small >= threshold * large - 1e-9) & (np.minimum(sa - pt[a], sb - pt[b]) + q - 1 >= need) & (it[a] != it[b])
+            a, b, need, q = a[ok], b[ok], need[ok], q[ok]
+            gap = np.zeros(len(a), np.int64)
+            for shift in (0, 8, 16, 24):
+                x = ((qt[a] >> np.uint32(shift)).astype(np.int64) - (qt[b] >> np.uint32(shift)).astype(np.int64)) & 255
+                gap += np.minimum(x, 256 - x)
+            ok = gap <= st[a] + st[b] - 2 * need
+            a, b, q = a[ok], b[ok], q[ok]
+            if len(a):
+                out.append((np.minimum(it[a], it[b]), np.maximum(it[a], it[b]), q.astype(np.int16)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16)
+        return none
     low, high, q = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((q, high, low))
     low, high, q = low[order], high[order], q[order]
@@ -286,19 +438,72 @@ def candidates_of(blobs: list, threshold: float, shared: int) -> tuple[np.ndarra
     return low[at], high[at], np.minimum(np.diff(np.append(at, len(low))), shared).astype(np.int16), q[at]
 
 
-def candidate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) once for every pair that passes the filters."""
-    hot, rank, total = _frequent(docs, n)
-    ranges = max(1, round(total * (1 - threshold) / RANGE_ROWS))
-
+def _meet(threshold: float):
     shared = SHARED
 
-    def meet(rows: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("a", "b", "c", "q"), candidates_of([x.as_buffer() for x in rows["block"]], threshold, shared))))
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        blobs = [x.as_buffer() for x in rows["block"]]
+        if key[0].as_py() < 0:
+            near = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in blobs])
+            a, b, c, q, step = near[:, 0], near[:, 1], np.zeros(len(near), np.int16), np.ones(len(near), np.int16), pa.array(near[:, 2].astype(np.int16))
+        else:
+            a, b, c, q = candidates_of(blobs, threshold, shared)
+            step = pa.nulls(len(a), pa.int16())
+        del blobs, rows
+        give_back()
+        return pa.table({"a": pa.array(a.copy()), "b": pa.array(b.copy()), "c": pa.array(c), "q": pa.array(q), "step": step})
+
+    return run
+
 
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(n, threshold, hot, rank, ranges), "part bigint, block binary")
-    met = blocks.groupBy("part").applyInArrow(meet, "a bigint, b bigint, c smallint, q smallint")
-    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("q").alias("q")).where("c >= q").select("a", "b")
+def _whole_ids(docs: DataFrame) -> DataFrame:
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id must be an integer, not {kind}")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def _prepared(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Documents of one text each, and what a pass over them gives."""
+    docs = _whole_ids(docs)
+    schema = "g bigint, c bigint, doc_id bigint, sig bigint, size bigint, " + ", ".join(f"k{i} bigint" for i in range(KEYS))
+    scanned = stored(docs.mapInArrow(_scan(n), schema), "grams")
+    several = durable(scanned.where("doc_id is not null").select("doc_id", "sig").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not several.isEmpty():
+        one = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        docs = docs.join(several, "doc_id", "left_anti").unionByName(one)
+        scanned = stored(docs.mapInArrow(_scan(n), schema), "grams")
+    return docs, scanned
+
+
+def _leaders(sets: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, lead) of sets that share a key with ``BALL`` or more: the lowest id of the largest such group of like size."""
+    keyed = sets.select("doc_id", "size", F.explode(F.array(*(f"k{i}" for i in range(KEYS)))).alias("k")).where("k <> 0")
+    large = keyed.groupBy("k").agg(F.min("doc_id").alias("lead"), F.min_by("size", "doc_id").alias("lead_size"), F.count("*").alias("many")).where(F.col("many") >= BALL)
+    fit = keyed.join(large, "k").where((F.col("size") >= threshold * F.col("lead_size")) & (F.col("lead_size") >= threshold * F.col("size")))
+    return durable(fit.groupBy("doc_id").agg(F.max_by("lead", F.struct(F.col("many"), -F.col("lead"))).alias("lead")))
+
+
+def candidate_pairs(docs: DataFrame, scanned: DataFrame, sets: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, step) once for every pair that is to be verified (``step`` null), and for every member ``b`` of the ball of leader ``a``."""
+    hot, rank, ways = _frequent(scanned)
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    packing = (hot, rank, ways, max(1, round(total * (1 - threshold) / RANGE_ROWS)))
+    led = _leaders(sets, threshold)
+    if led.isEmpty():
+        blocks = docs.mapInArrow(_alone(n, threshold, *packing), "part bigint, block binary")
+    else:
+        split = led.groupBy("lead").agg(F.ceil(F.count("*") / BALL_TASK).alias("ways"))
+        members = led.join(split, "lead").select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), "ways").alias("salt"), F.lit(False).alias("is_leader"))
+        leaders = split.select(F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)).alias("salt"), F.lit(True).alias("is_leader"))
+        routes = durable(members.unionByName(leaders))
+        marked = maybe_in(docs, id_bitmap(routes), "doc_id", "maybe")
+        alone = marked.where("not maybe").select("doc_id", "text").mapInArrow(_alone(n, threshold, *packing), "part bigint, block binary")
+        sent = marked.where("maybe").select("doc_id", "text").join(routes, "doc_id", "left").withColumn("is_leader", F.coalesce("is_leader", F.lit(False)))
+        sent = sent.repartition(F.coalesce("lead", "doc_id"), "salt").sortWithinPartitions("lead", "salt", F.desc("is_leader"))
+        blocks = alone.unionByName(sent.mapInArrow(_led(n, threshold, *packing), "part bigint, block binary"))
+    met = blocks.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint, c smallint, q smallint, step smallint")
+    return durable(met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("q").alias("q"), F.min("step").alias("step")).where("step is not null or c >= q").select("a", "b", "step"))
 
 
 def _verify(n: int, threshold: float):
@@ -310,50 +515,87 @@ def _verify(n: int, threshold: float):
                 g, splits = _sets(part.column("text"), n)
                 keys = list(zip(*(part.column(c).to_pylist() for c in ("g", "ga", "gb"))))
                 first, second = part.column("a").to_pylist(), part.column("b").to_pylist()
-                found: tuple[list, list, list] = ([], [], [])
+                found: tuple[list, list] = ([], [])
                 for i, key in enumerate(keys):
                     if key != at:
                         at, held = key, {}
                     if second[i] is None:
-                        held.setdefault(first[i], []).append(g[splits[i] : splits[i + 1]].copy())
-                        continue
-                    best = 0.0
-                    for x in held.get(first[i], ()):
-                        for y in held.get(second[i], ()):
-                            if len(x) > len(y):
-                                x, y = y, x
-                            if len(x) < threshold * len(y) - 1e-9:
-                                continue
-                            where = np.searchsorted(y, x)
-                            where[where == len(y)] = 0
-                            both = int((y[where] == x).sum())
-                            best = max(best, both / (len(x) + len(y) - both))
-                    if best >= threshold:
-                        for column, value in zip(found, (first[i], second[i], best)):
-                            column.append(value)
+                        held[first[i]] = g[splits[i] : splits[i + 1]].copy()
+                    elif _share(held[first[i]], held[second[i]]) >= threshold:
+                        found[0].append(first[i])
+                        found[1].append(second[i])
                 if found[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["doc_a", "doc_b", "jaccard"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+        del held
 
-    return run
+    return frugal(run)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` that reach the threshold."""
 
+    def lower(near: DataFrame) -> DataFrame:
+        """(u, m): the least label of each document and its neighbours."""
+        both = near.select(F.col("a").alias("u"), F.col("mb").alias("m")).unionByName(near.select(F.col("b").alias("u"), F.col("ma").alias("m"))).unionByName(near.select(F.col("a").alias("u"), F.col("ma").alias("m")))
+        return both.groupBy("u").agg(F.min("m").alias("m"))
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of all pairs as the module describes them."""
-    found = durable(candidate_pairs(docs, n, threshold))
-    group = groups(found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
-    placed = found.join(group.select(F.col("doc_id").alias("a"), "keep_id"), "a", "left").select("a", "b", F.coalesce("keep_id", "a").alias("g"))
+    # pairs go where the least of the ids two steps around them is, so that a text goes to few places
+    near = pairs.select("a", "b", F.col("a").alias("ma"), F.col("b").alias("mb"))
+    label = lower(near)
+    near = pairs.join(label.select(F.col("u").alias("a"), F.col("m").alias("ma")), "a").join(label.select(F.col("u").alias("b"), F.col("m").alias("mb")), "b")
+    placed = durable(pairs.join(lower(near).select(F.col("u").alias("a"), F.col("m").alias("g")), "a").select("a", "b", "g"))
     # a group in which very many pairs meet is split by both ids
     ways = F.ceil(F.sqrt(F.count("*") / PAIRS_AT_ONCE))
     crowded = placed.groupBy("g").agg(ways.alias("k")).where("k > 1")
     keyed = placed.join(crowded, "g", "left").select(
         "g", *(F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.col("k"))).cast("bigint").alias(f"g{c}") for c in ("a", "b")), "a", "b")
-    needed = keyed.select("g", "ga", "gb", F.col("a").alias("_d")).union(keyed.select("g", "ga", "gb", F.col("b").alias("_d"))).distinct()
-    ids = found.select(F.explode(F.array("a", "b")).alias("_d"))
-    wanted = maybe_in(docs.select(F.col("doc_id").alias("_d"), "text").where("text is not null"), id_bitmap(ids, "_d"), "_d").where("_maybe")
-    texts = wanted.join(needed, "_d").select("g", "ga", "gb", F.col("_d").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
-    rows = texts.unionByName(keyed.withColumn("text", F.lit(None).cast("string")))
-    met = rows.repartition("g", "ga", "gb").sortWithinPartitions("g", "ga", "gb", F.col("b").isNotNull())
-    return met.mapInArrow(_verify(n, threshold), "doc_a bigint, doc_b bigint, jaccard double")
+    needed = keyed.select("g", "ga", "gb", F.col("a").alias("doc_id")).unionByName(keyed.select("g", "ga", "gb", F.col("b").alias("doc_id"))).distinct()
+    ids = placed.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    wanted = maybe_in(docs.where("text is not null"), id_bitmap(ids), "doc_id", "maybe").where("maybe").drop("maybe")
+    texts = wanted.join(needed, "doc_id").select("g", "ga", "gb", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    met = texts.unionByName(keyed.withColumn("text", F.lit(None).cast("string"))).repartition("g", "ga", "gb").sortWithinPartitions("g", "ga", "gb", F.col("b").isNotNull())
+    return met.mapInArrow(_verify(n, threshold), "a bigint, b bigint")
+
+
+def _counted(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, links) of the certain pairs within balls; and (a, b) of leaders that are in no ball of their own, with the members of theirs."""
+    limit = _limit(threshold)
+    m = members.join(sets.select(F.col("doc_id").alias("b"), "copies"), "b")
+    steps = m.groupBy("a", "step").agg(F.sum("copies").alias("w"))
+    balls = steps.groupBy("a").agg(F.collect_list(F.struct("step", "w")).alias("h"))  # one entry a step, STEPS at most
+    certain = F.aggregate(F.filter("h", lambda x: x["step"] + F.col("step") <= limit), F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"])
+    reached = steps.join(balls, "a").select("a", "step", certain.alias("sum"))
+    counted = m.join(reached, ["a", "step"]).select(F.col("b").alias("doc_id"), (F.col("sum") - F.when(2 * F.col("step") <= limit, F.col("copies")).otherwise(0)).alias("links"))
+    own = members.where("a = b").select("a")
+    return counted, members.join(own, "a", "left_anti").select("a", "b")
+
+
+def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of all documents with a partner, as the module describes them."""
+    docs, scanned = _prepared(docs, n)
+    units = scanned.where("doc_id is not null").select("doc_id", "sig", "size", *(f"k{i}" for i in range(KEYS))).dropDuplicates(["doc_id"])
+    sets = stored(units.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))), "sets")
+    found = candidate_pairs(docs, scanned, sets, n, threshold)
+    pairs, members = found.where("step is null").select("a", "b"), found.where("step is not null")
+    edges = durable(_verified(docs, pairs, n, threshold))
+    parts = []
+    if not members.isEmpty():
+        counted, more = _counted(members, sets, threshold)
+        parts.append(counted)
+        linked = edges.unionByName(more)
+    else:
+        linked = edges
+    copies = sets.select("doc_id", "copies")
+    for one, other in (("a", "b"), ("b", "a")):
+        parts.append(linked.join(copies.withColumnRenamed("doc_id", other), other).select(F.col(one).alias("doc_id"), F.col("copies").alias("links")))
+    links = parts[0]
+    for p in parts[1:]:
+        links = links.unionByName(p)
+    group = groups(edges.unionByName(members.where("a <> b").select("a", "b")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
+    known = links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(group, "doc_id", "left")
+    wide = sets.select("sig", "doc_id", "copies").join(known, "doc_id", "left").where("copies > 1 or links is not null")
+    wide = wide.select("sig", F.coalesce("keep_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return units.select("doc_id", "sig").join(wide, "sig").where("links > 0").select("doc_id", "class_id", "links")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -383,19 +625,22 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the lowest ``doc_id`` of each connected group of similar documents, columns as they were.
+    """``docs`` with the lowest ``doc_id`` of each class of similar documents, columns as they were.
 
     Rows that share a ``doc_id`` stay or go together.
     """
-    return without_ids(docs, groups(durable(similar_pairs(docs, n, threshold))))
+    return without_ids(docs, durable(similar(docs, n, threshold).where("doc_id <> class_id").select("doc_id")))
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
-lead AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS keep FROM g),
-grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM lead WHERE doc_id = keep),
-common AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n >= {THRESHOLD} * b.n - 1e-9 AND b.n >= {THRESHOLD} * a.n - 1e-9 GROUP BY a.doc_id, b.doc_id)
-SELECT doc_a, doc_b, c::DOUBLE / (na + nb - c) AS jaccard FROM common WHERE c::DOUBLE / (na + nb - c) >= {THRESHOLD}
-UNION ALL SELECT keep, doc_id, 1.0::DOUBLE FROM lead WHERE doc_id <> keep
+lead AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS first, count(*) OVER (PARTITION BY s) AS copies FROM g),
+grams AS (SELECT doc_id, len(s) AS n, copies, unnest(s) AS g FROM lead WHERE doc_id = first),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(a.copies) AS ca, any_value(b.copies) AS cb, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n >= {THRESHOLD} * b.n - 1e-9 AND b.n >= {THRESHOLD} * a.n - 1e-9 GROUP BY a.doc_id, b.doc_id),
+pairs AS (SELECT * FROM common WHERE c::DOUBLE / (na + nb - c) >= {THRESHOLD}),
+both_ AS (SELECT a AS x, b AS y, cb AS w FROM pairs UNION ALL SELECT b, a, ca FROM pairs),
+reach(x, y) AS (SELECT x, y FROM both_ UNION SELECT r.x, e.y FROM reach r JOIN both_ e ON r.y = e.x),
+class AS (SELECT x, least(x, min(y)) AS class_id FROM reach GROUP BY x), linked AS (SELECT x, sum(w) AS n FROM both_ GROUP BY x)
+SELECT doc_id, coalesce(class_id, first)::BIGINT AS class_id, (coalesce(n, 0) + copies - 1)::BIGINT AS links FROM lead LEFT JOIN class ON class.x = first LEFT JOIN linked ON linked.x = first WHERE coalesce(n, 0) + copies > 1
 """

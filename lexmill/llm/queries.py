@@ -38,7 +38,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from lexmill.llm import exact_dedup as E
 from lexmill.llm import ngram_join as J
@@ -65,20 +68,33 @@ def grams(text, n=J.N):
 
 
 def brute(rows, threshold):
-    sets = sorted((d, frozenset(grams(t))) for d, t in rows if d is not None and t and grams(t))
-    lead, out = {}, set()
-    for d, s in sets:
-        if s in lead:
-            out.add((lead[s], d, 1.0))
-        else:
-            lead[s] = d
-    firsts = [(d, s) for s, d in lead.items()]
-    for i, (d, s) in enumerate(firsts):
-        for e, u in firsts[:i]:
-            j = len(s & u) / len(s | u)
-            if j >= threshold:
-                out.add((min(d, e), max(d, e), j))
-    return out
+    """(doc_id, class_id, links) by comparing every text with every other."""
+    texts = {}
+    for d, t in rows:
+        if d is not None and t is not None:
+            texts[d] = max(t, texts.get(d, ""))
+    sets = {d: grams(t) for d, t in texts.items() if grams(t)}
+    ids, links, root = sorted(sets), Counter(), {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, d in enumerate(ids):
+        for e in ids[:i]:
+            x, y = sets[d], sets[e]
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9 and len(x & y) / len(x | y) >= threshold:
+                links.update((d, e))
+                low, high = sorted((find(d), find(e)))
+                root[high] = low
+    return {(d, find(d), k) for d, k in links.items()}
+
+
+def found(df, **parameters):
+    rows = [(r.doc_id, r.class_id, r.links) for r in J.similar(df, **parameters).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
 
 
 def corpus(seed, n=220):
@@ -100,20 +116,72 @@ def corpus(seed, n=220):
     return rows
 
 
-def test_pairs_equal_brute_force(docs_of):
+def test_classes_and_links_equal_brute_force(docs_of):
     for seed in (1, 2):
-        rows = corpus(seed) + [(900, ""), (901, None), (None, "a b c"), (902, "!!! ..."), (903, "Été, ÉTÉ"), (904, "été été")]
-        got = {(r.doc_a, r.doc_b, r.jaccard) for r in J.similar_pairs(docs_of(rows, "'x' as g")).collect()}
+        rows = corpus(seed) + [(900, ""), (901, None), (None, "a b c"), (902, "!!! ..."), (903, "Été, ÉTÉ"), (904, "été été"), (904, "été été"), (905, "x y"), (905, "été ÉTÉ")]
+        got = found(docs_of(rows, "'x' as g").selectExpr("*", "1 as sig", "2 as lead", "3 as maybe"))
         assert got == brute(rows, J.THRESHOLD)
         assert len(got) > 50
 
 
+def crowd(seed, n=260):
+    """Large groups of copies of a few texts, edited more or less, and texts that hold half of one."""
+    r = random.Random(seed)
+    bases = [[f"b{k}w{r.randrange(10**6)}" for _ in range(r.choice([12, 60, 150, 300]))] for k in range(3)]
+    rows = []
+    for d in range(n):
+        words = list(r.choice(bases[:1] * 3 + bases))
+        for _ in range(int(len(words) * r.choice([0, 0.01, 0.03, 0.06, 0.12, 0.2]))):
+            words[r.randrange(len(words))] = f"e{r.randrange(10**6)}"
+        if r.random() < 0.1:
+            words = words[: len(words) // 2] + [f"e{r.randrange(10**6)}" for _ in range(len(words) // 3)]
+        rows.append((r.randrange(10**9), " ".join(words)))
+    return rows
+
+
+def test_large_groups_are_counted_without_their_pairs(docs_of, monkeypatch):
+    for seed, ball, threshold in ((1, 4, 0.6), (2, 8, 0.6), (3, 3, 0.3), (4, 3, 0.9), (5, 16, 0.5)):
+        monkeypatch.setattr(J, "BALL", ball)
+        monkeypatch.setattr(J, "BALL_TASK", 20)
+        rows = crowd(seed)
+        docs, scanned = J._prepared(docs_of(rows), J.N)
+        sets = scanned.where("doc_id is not null").selectExpr("*", "1 as copies")
+        led = J.candidate_pairs(docs, scanned, sets, J.N, threshold)
+        assert led.where("step > 0").count() > 20
+        got = found(docs_of(rows), threshold=threshold)
+        assert got == brute(rows, threshold)
+
+
+def test_thresholds_on_larger_sets(docs_of):
+    rows = [(d, t) for d, t in corpus(7, 160) + [(1000 + d, t + " " + t[: len(t) // 3]) for d, t in corpus(8, 60)] if len(t) > 900]
+    assert sum(len(grams(t)) > 128 for _, t in rows) > 40
+    for threshold in (0.3, 0.6, 0.9):
+        assert found(docs_of(rows), threshold=threshold) == brute(rows, threshold)
+
+
 def test_ranges_and_splits_find_the_same(docs_of, monkeypatch):
     rows = corpus(3, 150)
-    monkeypatch.setattr(J, "RANGE_ROWS", 500)
-    monkeypatch.setattr(J, "PAIRS_AT_ONCE", 3)
-    got = {(r.doc_a, r.doc_b, r.jaccard) for r in J.similar_pairs(docs_of(rows)).collect()}
-    assert got == brute(rows, J.THRESHOLD)
+    for name, value in (("RANGE_ROWS", 500), ("PAIRS_AT_ONCE", 3), ("HOT_GRAM", 4), ("COMPARED", 10), ("SLICE", 1000), ("BALL", 3)):
+        monkeypatch.setattr(J, name, value)
+    assert found(docs_of(rows)) == brute(rows, J.THRESHOLD)
+
+
+def test_a_text_longer_than_a_piece(docs_of):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    other = [w if r.random() > 0.05 else "edited" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:30_000]))]
+    assert found(docs_of(rows)) == brute(rows, J.THRESHOLD) == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_ids_of_other_types(docs_of):
+    text = "one two three four five"
+    docs = docs_of([(1, text), (2, text), (3, "six seven")])
+    small = docs.withColumn("doc_id", docs.doc_id.cast("int"))
+    assert found(small) == {(1, 1, 1), (2, 1, 1)}
+    assert sorted(r.doc_id for r in J.drop_near_duplicates(small).collect()) == [1, 3]
+    with pytest.raises(TypeError):
+        J.similar(docs.withColumn("doc_id", docs.doc_id.cast("string")))
 
 
 def test_pairs_near_the_threshold_are_found_among_larger_sets(docs_of, monkeypatch):
@@ -130,10 +198,9 @@ def test_pairs_near_the_threshold_are_found_among_larger_sets(docs_of, monkeypat
             for i in r.sample(range(size), size // 9):
                 other[i] = f"v{r.randrange(10**9)}"
         rows += [(d, " ".join(words)), (d + 1, " ".join(other))]
-    got = {(x.doc_a, x.doc_b, x.jaccard) for x in J.similar_pairs(docs_of(rows)).collect()}
     want = brute(rows, J.THRESHOLD)
-    assert sum(j < 0.65 for _, _, j in want) > 80
-    assert got == want
+    assert len(want) > 200
+    assert found(docs_of(rows)) == want
 
 
 def test_groups_are_connected_components(spark):
@@ -145,8 +212,8 @@ def test_groups_are_connected_components(spark):
 
 def test_near_duplicates_are_dropped(docs_of):
     text = " ".join(f"word{i}" for i in range(60))
-    docs = docs_of([(2, text), (1, text + " end"), (3, "something else entirely here"), (4, None), (None, text), (5, "")], "1 as a")
+    docs = docs_of([(2, text), (1, text + " end"), (3, "something else entirely here"), (4, None), (None, text), (5, "")], "1 as a").selectExpr("*", "2 as _at", "3 as maybe", "4 as bits", "5 as bucket", "map(1, 2) as m")
     got = J.drop_near_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect()) == [-1, 1, 3, 4, 5]
-    assert J.similar_pairs(docs.limit(0)).count() == 0
+    assert J.similar(docs.limit(0)).count() == 0 and J.drop_near_duplicates(docs.limit(0)).count() == 0

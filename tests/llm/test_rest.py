@@ -173,17 +173,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tables):
     for d in sorted(kept):
         first.setdefault(rows[d].text, d)
     kept = set(first.values())
-    root = {d: d for d in kept}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a, b, _ in brute([(d, rows[d].text) for d in kept], ngram_join.THRESHOLD):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    kept = {d for d in kept if find(d) == d}
+    later = {d for d, c, _ in brute([(d, rows[d].text) for d in kept], ngram_join.THRESHOLD) if d != c}
+    kept -= later
     sizes = Counter(rows[d].source for d in kept)
     whole, size = sum(math.sqrt(x) for x in sizes.values()), round(M.RATE * len(kept))
     import hashlib
