@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns they were given.
+last return the columns they were given, whatever else these are.
+
+Defined results: documents whose text is null or empty aren't identified and go
+in the first stage; rows without a ``doc_id`` are never anyone's copy and stay,
+repeated rows with an id become one in the second; of equal texts the lowest id
+stays, of a group of similar ones as well; a null source is a source of its own;
+ties in the mixture are decided by id and text; texts of any length are handled
+whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from lexmill.llm._common import shared_dir, table
+from lexmill.llm._common import remove_at_end, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is kept in the shared folder."""
     place = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    remove_at_end(spark, place)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

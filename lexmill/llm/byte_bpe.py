@@ -4,7 +4,8 @@ The vocabulary (token bytes and ranks) becomes a sentencepiece BPE model
 without training: every token is spelled in the 256 printable stand-ins for
 bytes, scored by its negative rank, with identity normalisation and no dummy
 prefix.  Texts are cut into pre-tokens by the tokenizer's pattern, each distinct
-pre-token is encoded once per worker, and ids are laid end to end.  Decoding
+pre-token is encoded once per worker as long as ``CACHE_BYTES`` hold it, and ids
+are laid end to end.  Decoding
 maps ids back to bytes.
 
 Defined results: a null text has null ids, an empty text an empty list; special
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, row_slices
+from ._common import byte_sizes, frugal, row_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 800_000  # distinct pre-tokens a worker remembers
-SLICE = 2 << 20  # bytes of text cut at once
+CACHE_BYTES = 64 << 20  # what a worker remembers of pre-tokens
+SLICE = 1 << 20  # bytes of text cut at once
+CUT = 200_000  # pre-tokens of one text held at once
 
 
 def byte_letters() -> list[str]:
@@ -92,23 +94,37 @@ class Codec:
         import sentencepiece
 
         self.tokens = list(tokens)
-        self.find = regex.compile(pattern).findall
+        self.find, self.each = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
-        """Ids of each text; one call of the processor for all pre-tokens not yet known."""
-        cut = [None if t is None else self.find(t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(p for p in cut if p)).difference(self.known))
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
+
+    def _ids(self, cut: list[list[str]]) -> list[np.ndarray]:
+        """Ids of lists of pre-tokens; one call of the processor for all that aren't known yet."""
+        if self.known_bytes > CACHE_BYTES:
+            self.known.clear()
+            self.known_bytes = 0
+        new = list(set(itertools.chain.from_iterable(cut)).difference(self.known))
         if new:
-            if len(self.known) > CACHE:
-                self.known.clear()
-                new = list(set(itertools.chain.from_iterable(p for p in cut if p)))
             spelled = [p.encode("utf-8").decode("latin-1").translate(self.letters) for p in new]
-            self.known.update(zip(new, map(tuple, self.processor.encode(spelled, num_threads=1))))
+            coded = [np.array(x, np.int32).tobytes() for x in self.processor.encode(spelled, num_threads=1)]
+            self.known.update(zip(new, coded))
+            self.known_bytes += 200 * len(new) + sum(map(len, coded)) + 2 * sum(map(len, new))  # with what Python adds to each
         ids = self.known.__getitem__
-        return [None if p is None else np.fromiter(itertools.chain.from_iterable(map(ids, p)), np.int32) for p in cut]
+        return [np.frombuffer(b"".join(map(ids, p)), np.int32) for p in cut]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
+        """Ids of each text; a long one is cut and encoded part by part."""
+        short = [i for i, t in enumerate(texts) if t is not None and len(t) <= SLICE]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, ids in zip(short, self._ids([self.find(texts[i]) for i in short])):
+            out[i] = ids
+        for i, t in enumerate(texts):
+            if t is not None and len(t) > SLICE:
+                cut = (m.group() for m in self.each(t))
+                out[i] = np.concatenate([self._ids([p])[0] for p in iter(lambda: list(itertools.islice(cut, CUT)), [])])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -141,7 +157,7 @@ def _encode(path: str, pattern: str, check: bool):
                     names=["doc_id", "ids", "tokens"] + (["restored"] if check else []),
                 )
 
-    return run
+    return frugal(run)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, check: bool = False) -> DataFrame:
@@ -159,4 +175,4 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [None if x.as_py() is None else c.decode(x.as_py()) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", F.col("ids")).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", F.col("ids")).mapInArrow(frugal(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")

@@ -8,7 +8,7 @@ chunk hashes of one document ever meet.
 
 Documents of equal length and fingerprint are then compared by content, chunk
 by chunk: a group whose chunks at some position differ is a collision, and its
-texts are grouped by their whole content instead.
+texts are told apart by the names of their chunks.
 
 Defined results: a null text equals nothing, an empty text equals other empty
 texts.  A row without ``doc_id`` can't be named: it is never reported and always
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, id_bitmap, maybe_in, unused, without_ids
+from ._common import durable, frugal, id_bitmap, maybe_in, without_ids
 
 PRIME = 4611686018427387847  # the largest prime below 2**62
 BASE = 256
@@ -96,13 +96,13 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE) -> DataF
     """
     base = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).where("doc_id is not null and _t is not null")
     kind = dict(base.dtypes)["doc_id"]
-    small = base.where(F.octet_length("_t") <= huge).mapInArrow(_hash_batches(chunk), f"doc_id {kind}, len bigint, fp bigint")
+    small = base.where(F.octet_length("_t") <= huge).mapInArrow(frugal(_hash_batches(chunk)), f"doc_id {kind}, len bigint, fp bigint")
     parts = (
         base.where(F.octet_length("_t") > huge)
         .select("doc_id", F.octet_length("_t").cast("bigint").alias("len"), F.xxhash64("_t").alias("tag"), "_t", F.explode(F.expr(f"sequence(0L, (octet_length(_t) - 1) div {chunk})")).alias("no"))
         .select("doc_id", "len", "tag", "no", F.substring("_t", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("part"))
         .repartition("doc_id", "no")
-        .mapInArrow(_hash_chunks, f"doc_id {kind}, len bigint, tag bigint, no bigint, part_len bigint, fp bigint")
+        .mapInArrow(frugal(_hash_chunks), f"doc_id {kind}, len bigint, tag bigint, no bigint, part_len bigint, fp bigint")
         .dropDuplicates(["doc_id", "len", "tag", "no"])
         .groupBy("doc_id", "len", "tag")
         .agg(F.array_sort(F.collect_list(F.struct("no", "part_len", "fp"))).alias("parts"))
@@ -136,9 +136,23 @@ def duplicates(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE, prints: Da
     if collided.isEmpty():
         return members.where("doc_id <> keep_id").select("doc_id", "keep_id", "copies").distinct()
     sound = members.join(collided, ["len", "fp"], "left_anti").where("doc_id <> keep_id").select("doc_id", "keep_id", "copies")
-    whole = docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(members.join(collided, ["len", "fp"]).select("doc_id").distinct(), "doc_id").distinct()
-    leaders = whole.groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
-    return sound.unionByName(whole.join(leaders, "text").where("doc_id <> keep_id").select("doc_id", "keep_id", "copies")).distinct()
+    return sound.unionByName(_told_apart(docs, members.join(collided, ["len", "fp"]).select("doc_id", "len", "fp").distinct(), chunk)).distinct()
+
+
+def _told_apart(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
+    """(doc_id, keep_id, copies) within groups of one fingerprint but several texts.
+
+    Each chunk of a text is named by the lowest id that has this chunk at this
+    position; texts are equal where all their chunks have the same names.
+    """
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).join(members, "doc_id").where(F.octet_length("_t") == F.col("len"))
+    parts = texts.select("doc_id", "len", "fp", F.xxhash64("_t").alias("tag"), F.explode(F.expr(f"sequence(0L, greatest(octet_length(_t) - 1, 0) div {chunk})")).alias("no"), "_t")
+    parts = parts.select("doc_id", "len", "fp", "tag", "no", F.substring("_t", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("part"))
+    names = parts.groupBy("len", "fp", "no", "part").agg(F.min("doc_id").alias("name"))
+    named = parts.join(names, ["len", "fp", "no", "part"]).select("doc_id", "len", "fp", "tag", "no", "name").distinct()
+    spelled = named.groupBy("doc_id", "len", "fp", "tag").agg(F.array_sort(F.collect_list(F.struct("no", "name"))).alias("names")).select("doc_id", "len", "fp", "names").distinct()
+    leaders = spelled.groupBy("len", "fp", "names").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
+    return spelled.join(leaders, ["len", "fp", "names"]).where("doc_id <> keep_id").select("doc_id", "keep_id", "copies")
 
 
 def drop_duplicates(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:

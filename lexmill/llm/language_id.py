@@ -9,7 +9,8 @@ lowest cross-entropy per character.  It is rejected where even that exceeds what
 held-out documents of this language show at this length.
 
 Models are fitted on a bounded sample: ``TRAIN_DOCS`` documents of each language
-for counts and as many again for calibration, chosen by a hash of ``doc_id``.
+for counts and as many again for calibration, ``TRAIN_BYTES`` in all, chosen by a
+hash of ``doc_id``; texts of more than a sixteenth of that aren't trained on.
 Counts, candidates and thresholds of everything else cover all documents.
 
 Defined results: a null or empty text has no evidence and is rejected with a
@@ -29,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import byte_sizes, frugal, row_slices
 from ._text import mix
 
 ORDER = 4
 TRAIN_DOCS = 300
+TRAIN_BYTES = 16 << 20  # of a language's texts in the sample
 PIECE = 1 << 18
+SLICE = 4 << 20
 MARGIN = 6.0  # standard deviations above the held-out mean
 MIN_SPREAD = 0.35  # bits; no threshold is tighter than this
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -258,38 +262,36 @@ def calibrate(models: Models, texts: dict[str, Sequence[str]]) -> Models:
 
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(lang, text, part): up to ``train_docs`` labelled texts of each language for counts (0) and for calibration (1)."""
-    hashed = docs.select("lang", "doc_id", "text").where("lang is not null and doc_id is not null")
+    hashed = docs.select("lang", "doc_id", "text").where(f"lang is not null and doc_id is not null and octet_length(text) <= {TRAIN_BYTES // 16}")
     slots = 1 << 30
     counts = hashed.groupBy("lang").count().select(F.col("lang").alias("_l"), (F.lit(4.0 * train_docs) / F.col("count")).alias("share"))
     return (
         hashed.join(F.broadcast(counts), F.col("lang") == F.col("_l"))  # one row per language
         .where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < F.col("share") * slots)
         .withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")))
-        .where(F.col("at") <= 2 * train_docs)
+        .withColumn("bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("at")))
+        .where((F.col("at") <= 2 * train_docs) & (F.col("bytes") <= TRAIN_BYTES))
         .select("lang", "text", (F.col("at") % 2).alias("part"))
     )
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER) -> Models:
     halves: tuple[dict, dict] = ({}, {})
-    for row in sample(docs, train_docs).collect():  # bounded by train_docs
+    for row in sample(docs, train_docs).collect():  # bounded by train_docs and TRAIN_BYTES
         halves[row["part"]].setdefault(row["lang"], []).append(row["text"])
     models = fit({k: sorted(t for t in v if t) for k, v in halves[1].items()} or {"und": [""]}, order)
     return calibrate(models, halves[0])
 
 
-def _scored(models: Models, text_at: str, carry: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array([*models.languages, None], pa.string())
+def _judged(models: Models):
+    """Slices of batches with the characters, best language, bits per character and verdict of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            n, sums = models.totals(b.column(text_at).to_pylist())
-            best, bits, fits = models.judge(n, sums)
-            empty = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in carry]
-                + [names.take(pa.array(np.where(empty, len(models.languages), best))), pa.array(bits, mask=empty), pa.array(n), pa.array(fits)],
-                names=[*carry, "language", "bits_per_char", "chars", "keep"],
-            )
+            for at, to in row_slices(byte_sizes(b.column("text")), SLICE):
+                part = b.slice(at, to - at)
+                n, sums = models.totals(part.column("text").to_pylist())
+                yield part, n, *models.judge(n, sums)
 
     return run
 
@@ -297,15 +299,24 @@ def _scored(models: Models, text_at: str, carry: list[str]):
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, language, bits_per_char, chars, keep) of every row; ``keep`` is false where the text is rejected."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_scored(models, "text", ["doc_id"]), f"doc_id {kind}, language string, bits_per_char double, chars bigint, keep boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([*models.languages, None], pa.string())
+        for part, n, best, bits, fits in _judged(models)(batches):
+            empty = n == 0
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), names.take(pa.array(np.where(empty, len(models.languages), best))), pa.array(bits, mask=empty), pa.array(n), pa.array(fits)],
+                names=["doc_id", "language", "bits_per_char", "chars", "keep"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, language string, bits_per_char double, chars bigint, keep boolean")
 
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, all columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, sums = models.totals(b.column("text").to_pylist())
-            yield b.filter(pa.array(models.judge(n, sums)[2]))
+        for part, _, _, _, fits in _judged(models)(batches):
+            yield part.filter(pa.array(fits))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -37,6 +37,7 @@ def test_collisions_are_told_apart(docs_of, monkeypatch):
     monkeypatch.setattr(E, "_hash_batches", lambda chunk: _weak)
     docs = docs_of([(1, "ab"), (2, "ba"), (3, "ab"), (4, "cc"), (5, "cc"), (6, "ba")])
     assert ids(E.duplicates(docs), "doc_id", "keep_id") == [(3, 1), (5, 4), (6, 2)]
+    assert ids(E.duplicates(docs, chunk=1), "doc_id", "keep_id", "copies") == [(3, 1, 2), (5, 4, 2), (6, 2, 2)]
 
 
 def _weak(batches):
@@ -48,7 +49,7 @@ def _weak(batches):
 
 
 def test_drop_duplicates_keeps_one_of_each(docs_of):
-    docs = docs_of([(1, "x"), (1, "x"), (2, "x"), (3, "y"), (4, None), (None, "x"), (5, "z"), (5, "w"), (6, "w")], "0 as keep_id")
+    docs = docs_of([(1, "x"), (1, "x"), (2, "x"), (3, "y"), (4, None), (None, "x"), (5, "z"), (5, "w"), (6, "w")], "0 as keep_id").selectExpr("*", "map(1, 2) as m", "1 as _at", "2 as _maybe", "3 as _bits", "4 as _bucket", "5 as maybe", "6 as bits", "7 as BUCKET", "8 as fp")
     got = E.drop_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got.collect()) == [(-1, "x"), (1, "x"), (3, "y"), (4, ""), (5, "w"), (5, "z")]

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lexmill.llm import ann as A
 from lexmill.llm import license_scan as S
@@ -98,8 +99,10 @@ def test_hilbert_curve_is_one_path():
 
 def test_mixture_has_fixed_size_and_target_shares(docs_of):
     rows = [(i, f"t{i}", "en", "big" if i % 10 < 7 else "mid" if i % 10 < 9 else "tiny") for i in range(1000)] + [(5000, "x", "en", None), (5001, None, None, None), (None, "y", "en", "tiny"), (5, "t5", "en", "mid")]
-    docs = docs_of(rows, "1 as _x")
+    docs = docs_of(rows).selectExpr("*", *(f"{i} as {c}" for i, c in enumerate("_p _whole _n _q _unit _copies copies copy KEY whole p odds place".split())))
     out = M.mix(docs, rate=1.0)
+    assert all(r._p == 0 and r._copies == 5 and r.place == 12 for r in out.limit(20).collect())
+    assert M.mix_copies(docs, copies="copies").columns == [*docs.columns, "__copies"]
     got = Counter(r.source for r in out.collect())
     assert out.columns == docs.columns and sum(got.values()) == len(rows)
     sizes = Counter(r[3] for r in rows)
@@ -196,3 +199,21 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tables):
     got = P.run(spark, tables).collect()
     assert Counter(r.doc_id for r in got) == Counter({d: c for d, c in copies.items() if c})
     assert all(r.restored and byte_bpe.codec().decode(r.ids) == rows[r.doc_id].text for r in got)
+
+
+@pytest.mark.parametrize("extra", [[], ["map(1, 2) as m", "1 as _at", "2 as maybe", "3 as _p", "4 as copies", "5 as keep_id", "6 as bits"]])
+def test_pipeline_stages_take_odd_rows(spark, tables, docs_of, extra):
+    import corpus_pipeline as P
+
+    good = spark.read.parquet(f"{tables}/documents.parquet").where("lang = 'en'").limit(40)
+    text = good.first().text
+    odd = docs_of([(-1, None), (-2, ""), (None, text, None, None), (-3, text, "en", None), (-3, text, "en", None), (-3, None), (-4, text + " more", "en", "s"), (-5, (text + " ") * 300, "en", "s")])
+    docs = good.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd).selectExpr("*", *extra)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.schema.names == docs.schema.names and out.count() <= 60, name
+        assert stage(spark, docs.limit(0), tables).count() == 0, name
+    kept = P.remove_near_copies(spark, P.remove_copies(spark, P.identify_language(spark, docs, tables), tables), tables).collect()
+    ids = [r.doc_id for r in kept]
+    assert ids.count(None) == 1 and -1 not in ids and -2 not in ids and -3 not in ids and -4 not in ids and -5 in ids  # all similar; the lowest stays
+    assert P.encode(spark, docs, tables).count() == docs.count()
