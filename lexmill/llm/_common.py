@@ -111,14 +111,25 @@ def give_back() -> None:
         pass
 
 
-def frugal(f):
-    """A function over batches that gives memory back when it is through."""
+BATCH_BYTES = 8 << 20
+
+
+def mapped(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` in batches of ``BATCH_BYTES`` or so, the worker's memory given back after each task.
+
+    Ten thousand rows at once, Spark's default, are far more than any function
+    here needs.  The session's setting is lowered for that, never raised.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
         give_back()
 
-    return run
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 ID_BITS = 1 << 26

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, frugal, row_slices
+from ._common import byte_sizes, mapped, row_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_BYTES = 64 << 20  # what a worker remembers of pre-tokens
+CACHE_BYTES = 40 << 20  # what a worker remembers of pre-tokens
 SLICE = 1 << 20  # bytes of text cut at once
 CUT = 200_000  # pre-tokens of one text held at once
 
@@ -157,13 +157,13 @@ def _encode(path: str, pattern: str, check: bool):
                     names=["doc_id", "ids", "tokens"] + (["restored"] if check else []),
                 )
 
-    return frugal(run)
+    return run
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, check: bool = False) -> DataFrame:
     """(doc_id, ids, tokens); with ``check`` also whether decoding gives the text back."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, pattern, check), f"doc_id {kind}, ids array<int>, tokens bigint" + (", restored boolean" if check else ""))
+    return mapped(docs.select("doc_id", "text"), _encode(path, pattern, check), f"doc_id {kind}, ids array<int>, tokens bigint" + (", restored boolean" if check else ""))
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -175,4 +175,4 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [None if x.as_py() is None else c.decode(x.as_py()) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", F.col("ids")).mapInArrow(frugal(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return mapped(encoded.select("doc_id", F.col("ids")), run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, frugal, id_bitmap, maybe_in, without_ids
+from ._common import durable, id_bitmap, mapped, maybe_in, without_ids
 
 PRIME = 4611686018427387847  # the largest prime below 2**62
 BASE = 256
@@ -96,18 +96,16 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE) -> DataF
     """
     base = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).where("doc_id is not null and _t is not null")
     kind = dict(base.dtypes)["doc_id"]
-    small = base.where(F.octet_length("_t") <= huge).mapInArrow(frugal(_hash_batches(chunk)), f"doc_id {kind}, len bigint, fp bigint")
-    parts = (
+    small = mapped(base.where(F.octet_length("_t") <= huge), _hash_batches(chunk), f"doc_id {kind}, len bigint, fp bigint")
+    cut = (
         base.where(F.octet_length("_t") > huge)
         .select("doc_id", F.octet_length("_t").cast("bigint").alias("len"), F.xxhash64("_t").alias("tag"), "_t", F.explode(F.expr(f"sequence(0L, (octet_length(_t) - 1) div {chunk})")).alias("no"))
         .select("doc_id", "len", "tag", "no", F.substring("_t", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("part"))
         .repartition("doc_id", "no")
-        .mapInArrow(frugal(_hash_chunks), f"doc_id {kind}, len bigint, tag bigint, no bigint, part_len bigint, fp bigint")
-        .dropDuplicates(["doc_id", "len", "tag", "no"])
-        .groupBy("doc_id", "len", "tag")
-        .agg(F.array_sort(F.collect_list(F.struct("no", "part_len", "fp"))).alias("parts"))
-        .mapInArrow(_combine_chunks, f"doc_id {kind}, len bigint, fp bigint")
     )
+    hashed = mapped(cut, _hash_chunks, f"doc_id {kind}, len bigint, tag bigint, no bigint, part_len bigint, fp bigint").dropDuplicates(["doc_id", "len", "tag", "no"])
+    whole = hashed.groupBy("doc_id", "len", "tag").agg(F.array_sort(F.collect_list(F.struct("no", "part_len", "fp"))).alias("parts"))
+    parts = mapped(whole, _combine_chunks, f"doc_id {kind}, len bigint, fp bigint")
     return small.unionByName(parts)
 
 

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, frugal, row_slices
+from ._common import byte_sizes, mapped, row_slices
 from ._text import mix
 
 ORDER = 4
 TRAIN_DOCS = 300
 TRAIN_BYTES = 16 << 20  # of a language's texts in the sample
-PIECE = 1 << 18
-SLICE = 4 << 20
+PIECE = 1 << 17
+SLICE = 2 << 20
 MARGIN = 6.0  # standard deviations above the held-out mean
 MIN_SPREAD = 0.35  # bits; no threshold is tighter than this
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -309,7 +309,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 names=["doc_id", "language", "bits_per_char", "chars", "keep"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, language string, bits_per_char double, chars bigint, keep boolean")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, language string, bits_per_char double, chars bigint, keep boolean")
 
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
@@ -319,4 +319,4 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
         for part, _, _, _, fits in _judged(models)(batches):
             yield part.filter(pa.array(fits))
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return mapped(docs, run, docs.schema)

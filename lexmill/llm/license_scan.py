@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import byte_sizes, row_slices
+from ._common import byte_sizes, mapped, row_slices
 from ._text import mix, ngrams, words
 
 SHINGLE = 3
@@ -161,4 +161,4 @@ def _run(scanner: Scanner):
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word): each license that a document holds, and the word it begins at."""
     scanner = Scanner(TEMPLATES if templates is None else templates, containment)
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(_run(scanner), "doc_id bigint, license string, containment double, first_word bigint, window bigint").drop("window")
+    return mapped(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text"), _run(scanner), "doc_id bigint, license string, containment double, first_word bigint, window bigint").drop("window")

@@ -52,23 +52,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, durable, frugal, give_back, id_bitmap, maybe_in, row_slices, stored, without_ids
+from ._common import byte_sizes, durable, give_back, id_bitmap, mapped, maybe_in, row_slices, stored, without_ids
 from ._text import mix, ngrams, per_row, words
 
 N = 2
 THRESHOLD = 0.6
-LOCAL_REPEATS = 2  # a gram is counted where this many documents of one slice hold it
+LOCAL_REPEATS = 2  # a gram is counted where this many of a task's documents at hand hold it
 FREQUENT = 1 << 18  # entries of the table of frequent grams
 RANGE_ROWS = 500_000  # prefix grams that meet in one range
+PACK_ROWS = 250_000  # prefix grams that a task holds before it packs them
+COUNT_GRAMS = 1_000_000  # grams among which a task counts repeats
 HOT_GRAM = 1 << 20  # a gram of more documents is split, each part meeting each other one
 PAIRS_AT_ONCE = 30_000  # pairs verified in one group before it is split
-COMPARED = 1 << 20  # pairs of one range compared at once
+COMPARED = 1 << 18  # pairs of one range compared at once
 SHARED = 8  # shared grams that are counted of a pair
 KEYS = 4  # pairs of least hashes by which large groups are seen
 BALL = 16  # sets that share such a pair before they are compared with a leader
 BALL_TASK = 2_000  # sets compared with a leader in one task
 STEPS = 1024
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,25 +120,35 @@ def _keys(g: np.ndarray, splits: np.ndarray) -> np.ndarray:
 def _scan(n: int):
     """Two kinds of rows: a document's signature, size and keys; a gram and its documents in one slice."""
 
+    none = lambda k: pa.nulls(k, pa.int64())
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.concatenate(held)
+        key.sort()
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(edge, len(key)))
+        often = count >= LOCAL_REPEATS
+        return pa.RecordBatch.from_arrays([pa.array(key[edge[often]].view(np.int64)), pa.array(count[often]), *[none(int(often.sum()))] * (3 + KEYS)], names=_SCANNED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for part in _parts(batches):
             g, splits = _sets(part.column("text"), n)
             size = np.diff(splits)
             some = np.flatnonzero(size > 0)
             if not len(some):
                 continue
-            key = np.sort(g)
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.diff(np.append(edge, len(key)))
-            often = count >= LOCAL_REPEATS
             keys = _keys(g, splits)[some].view(np.int64)
-            none = lambda k: pa.nulls(k, pa.int64())
             docs = [part.column("doc_id").take(pa.array(some)), pa.array(_signatures(g, splits)[some].view(np.int64)), pa.array(size[some]), *(pa.array(keys[:, i].copy()) for i in range(KEYS))]
             yield pa.RecordBatch.from_arrays([none(len(some)), none(len(some)), *docs], names=_SCANNED)
-            grams = [pa.array(key[edge[often]].view(np.int64)), pa.array(count[often])]
-            yield pa.RecordBatch.from_arrays([*grams, *(none(int(often.sum())) for _ in docs)], names=_SCANNED)
+            held.append(g)
+            if sum(map(len, held)) >= COUNT_GRAMS:
+                yield repeated(held)
+                held = []
+        if held:
+            yield repeated(held)
 
-    return frugal(run)
+    return run
 
 
 _SCANNED = ["g", "c", "doc_id", "sig", "size", *(f"k{i}" for i in range(KEYS))]
@@ -224,7 +236,7 @@ class _Packer:
         self.held.append((ids, size, packed, _signatures(g, splits), ball, step, p_row + self.docs, place, p_g))
         self.docs += len(ids)
         self.grams += len(p_g)
-        if self.grams >= RANGE_ROWS:
+        if self.grams >= PACK_ROWS:
             yield self.pack()
 
     def _spread(self, ids: np.ndarray, row: np.ndarray, place: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +291,7 @@ def _alone(n: int, *packing):
         if packer.held:
             yield packer.pack()
 
-    return frugal(run)
+    return run
 
 
 def _share(x: np.ndarray, y: np.ndarray) -> float:
@@ -328,7 +340,7 @@ def _led(n: int, threshold: float, *packing):
         if near:
             yield pa.RecordBatch.from_arrays([pa.array([-1 - (near[0][0] % 1021)], pa.int64()), pa.array([np.array(near, np.int64).tobytes()], pa.binary())], names=["part", "block"])
 
-    return frugal(run)
+    return run
 
 
 def _unpack(blob) -> tuple[np.ndarray, ...]:
@@ -467,12 +479,12 @@ def _prepared(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Documents of one text each, and what a pass over them gives."""
     docs = _whole_ids(docs)
     schema = "g bigint, c bigint, doc_id bigint, sig bigint, size bigint, " + ", ".join(f"k{i} bigint" for i in range(KEYS))
-    scanned = stored(docs.mapInArrow(_scan(n), schema), "grams")
+    scanned = stored(mapped(docs, _scan(n), schema), "grams")
     several = durable(scanned.where("doc_id is not null").select("doc_id", "sig").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not several.isEmpty():
         one = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         docs = docs.join(several, "doc_id", "left_anti").unionByName(one)
-        scanned = stored(docs.mapInArrow(_scan(n), schema), "grams")
+        scanned = stored(mapped(docs, _scan(n), schema), "grams")
     return docs, scanned
 
 
@@ -491,17 +503,17 @@ def candidate_pairs(docs: DataFrame, scanned: DataFrame, sets: DataFrame, n: int
     packing = (hot, rank, ways, max(1, round(total * (1 - threshold) / RANGE_ROWS)))
     led = _leaders(sets, threshold)
     if led.isEmpty():
-        blocks = docs.mapInArrow(_alone(n, threshold, *packing), "part bigint, block binary")
+        blocks = mapped(docs, _alone(n, threshold, *packing), "part bigint, block binary")
     else:
         split = led.groupBy("lead").agg(F.ceil(F.count("*") / BALL_TASK).alias("ways"))
         members = led.join(split, "lead").select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), "ways").alias("salt"), F.lit(False).alias("is_leader"))
         leaders = split.select(F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)).alias("salt"), F.lit(True).alias("is_leader"))
         routes = durable(members.unionByName(leaders))
         marked = maybe_in(docs, id_bitmap(routes), "doc_id", "maybe")
-        alone = marked.where("not maybe").select("doc_id", "text").mapInArrow(_alone(n, threshold, *packing), "part bigint, block binary")
+        alone = mapped(marked.where("not maybe").select("doc_id", "text"), _alone(n, threshold, *packing), "part bigint, block binary")
         sent = marked.where("maybe").select("doc_id", "text").join(routes, "doc_id", "left").withColumn("is_leader", F.coalesce("is_leader", F.lit(False)))
         sent = sent.repartition(F.coalesce("lead", "doc_id"), "salt").sortWithinPartitions("lead", "salt", F.desc("is_leader"))
-        blocks = alone.unionByName(sent.mapInArrow(_led(n, threshold, *packing), "part bigint, block binary"))
+        blocks = alone.unionByName(mapped(sent, _led(n, threshold, *packing), "part bigint, block binary"))
     met = blocks.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint, c smallint, q smallint, step smallint")
     return durable(met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("q").alias("q"), F.min("step").alias("step")).where("step is not null or c >= q").select("a", "b", "step"))
 
@@ -528,7 +540,7 @@ def _verify(n: int, threshold: float):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
         del held
 
-    return frugal(run)
+    return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -554,7 +566,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
     wanted = maybe_in(docs.where("text is not null"), id_bitmap(ids), "doc_id", "maybe").where("maybe").drop("maybe")
     texts = wanted.join(needed, "doc_id").select("g", "ga", "gb", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
     met = texts.unionByName(keyed.withColumn("text", F.lit(None).cast("string"))).repartition("g", "ga", "gb").sortWithinPartitions("g", "ga", "gb", F.col("b").isNotNull())
-    return met.mapInArrow(_verify(n, threshold), "a bigint, b bigint")
+    return mapped(met, _verify(n, threshold), "a bigint, b bigint")
 
 
 def _counted(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -570,32 +582,38 @@ def _counted(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[Dat
     return counted, members.join(own, "a", "left_anti").select("a", "b")
 
 
-def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, links) of all documents with a partner, as the module describes them."""
+def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, sig) of all documents, (doc_id, sig, copies) of their sets, (a, b) of verified pairs, and (a, b, step) of the members ``b`` of balls."""
     docs, scanned = _prepared(docs, n)
     units = scanned.where("doc_id is not null").select("doc_id", "sig", "size", *(f"k{i}" for i in range(KEYS))).dropDuplicates(["doc_id"])
     sets = stored(units.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))), "sets")
     found = candidate_pairs(docs, scanned, sets, n, threshold)
-    pairs, members = found.where("step is null").select("a", "b"), found.where("step is not null")
-    edges = durable(_verified(docs, pairs, n, threshold))
-    parts = []
+    edges = durable(_verified(docs, found.where("step is null").select("a", "b"), n, threshold))
+    return units.select("doc_id", "sig"), sets.select("doc_id", "sig", "copies"), edges, found.where("step is not null")
+
+
+def _groups_of(edges: DataFrame, members: DataFrame) -> DataFrame:
+    return groups(edges.unionByName(members.where("a <> b").select("a", "b")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
+
+
+def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of all documents with a partner, as the module describes them."""
+    units, sets, edges, members = _linked(docs, n, threshold)
+    parts, linked = [], edges
     if not members.isEmpty():
         counted, more = _counted(members, sets, threshold)
         parts.append(counted)
         linked = edges.unionByName(more)
-    else:
-        linked = edges
     copies = sets.select("doc_id", "copies")
     for one, other in (("a", "b"), ("b", "a")):
         parts.append(linked.join(copies.withColumnRenamed("doc_id", other), other).select(F.col(one).alias("doc_id"), F.col("copies").alias("links")))
     links = parts[0]
     for p in parts[1:]:
         links = links.unionByName(p)
-    group = groups(edges.unionByName(members.where("a <> b").select("a", "b")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
-    known = links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(group, "doc_id", "left")
-    wide = sets.select("sig", "doc_id", "copies").join(known, "doc_id", "left").where("copies > 1 or links is not null")
+    known = links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(_groups_of(edges, members), "doc_id", "left")
+    wide = sets.join(known, "doc_id", "left").where("copies > 1 or links is not null")
     wide = wide.select("sig", F.coalesce("keep_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return units.select("doc_id", "sig").join(wide, "sig").where("links > 0").select("doc_id", "class_id", "links")
+    return units.join(wide, "sig").where("links > 0").select("doc_id", "class_id", "links")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -629,7 +647,9 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 
     Rows that share a ``doc_id`` stay or go together.
     """
-    return without_ids(docs, durable(similar(docs, n, threshold).where("doc_id <> class_id").select("doc_id")))
+    units, sets, edges, members = _linked(docs, n, threshold)
+    copies = units.join(sets.where("copies > 1").select("sig", F.col("doc_id").alias("first")), "sig").where("doc_id <> first").select("doc_id")
+    return without_ids(docs, durable(copies.unionByName(_groups_of(edges, members).select("doc_id"))))
 
 
 SQL = f"""

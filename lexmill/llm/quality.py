@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, durable, frugal, row_slices
+from ._common import byte_sizes, durable, mapped, row_slices
 from ._text import buffers, ngrams, per_row, words
 
 TRAIN_DOCS = 20_000
@@ -83,7 +83,7 @@ def features(docs: DataFrame, host: Column, path: Column) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     named = docs.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").alias("_t"))
-    return named.mapInArrow(frugal(run), f"doc_id {kind}, host string, path string, chars bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    return mapped(named, run, f"doc_id {kind}, host string, path string, chars bigint, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._common import mapped
 from ._text import buffers, mix
 
 SIZES = (3, 4, 5)
@@ -127,4 +128,4 @@ def score_urls(pages: DataFrame, weights: np.ndarray, id_column: str = "page_id"
             p = scores(b.column("url").to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([b.column(id_column), b.column("url"), pa.array(p, mask=np.isnan(p)), pa.array(p >= block_at)], names=[id_column, "url", "score", "blocked"])
 
-    return pages.select(id_column, "url").mapInArrow(run, f"{id_column} {dict(pages.dtypes)[id_column]}, url string, score double, blocked boolean")
+    return mapped(pages.select(id_column, "url"), run, f"{id_column} {dict(pages.dtypes)[id_column]}, url string, score double, blocked boolean")
