@@ -62,32 +62,56 @@ def test_bands_keep_their_promise():
             assert 1 - (1 - j**rows) ** bands >= S.CERTAINTY > (1 - (1 - j**rows) ** (bands - 1) if bands > 1 else 0)
 
 
+def exact_neighbours(rows, k=10):
+    """Ids of the k nearest by cosine to six places, ties by id."""
+    names = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(names % A.QUERY_EVERY == 0):
+        s = np.round(x @ x[i], 6)
+        s[names == names[i]] = -9
+        out[names[i]] = [(names[j], s[j]) for j in np.lexsort((names, -s))[:k]]
+    return out
+
+
 def test_neighbours_recall(spark, tables):
     vectors = spark.read.parquet(f"{tables}/embeddings.parquet")
-    rows = vectors.collect()
-    x = np.array([r.embedding for r in rows], float)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -9)
-    names = np.array([r.vec_id for r in rows])
-    want = {n: set(names[np.argsort(-s)[:10]]) for n, s in zip(names, sims)}
+    want = exact_neighbours(vectors.collect())
     got: dict[int, list] = {}
     for r in A.nearest(vectors).collect():
         got.setdefault(r.vec_id, []).append((r.place, r.neighbour, r.cosine))
-    assert np.mean([len(want[n] & {m for _, m, _ in got[n]}) / 10 for n in want]) >= 0.9
-    where = {n: i for i, n in enumerate(names)}
-    assert all(abs(c - sims[where[n], where[m]]) < 1e-4 for n in got for _, m, c in got[n])
+    assert set(got) == set(want)
+    assert np.mean([len({m for m, _ in want[n]} & {m for _, m, _ in got[n]}) / 10 for n in want]) >= 0.9
     assert all([p for p, _, _ in sorted(g)] == list(range(1, len(g) + 1)) for g in got.values())
 
 
+def test_neighbours_in_clusters_and_among_copies(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 16))
+    x[100:2100] = x[100]  # a third are copies of one
+    monkeypatch.setattr(A, "RUN", 300)
+    monkeypatch.setattr(A, "CELL", 8)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    want = exact_neighbours(vectors.collect())
+    got: dict[int, set] = {}
+    for r in A.nearest(vectors).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour)
+    assert set(got) == set(want) and np.mean([len({m for m, _ in want[n]} & got[n]) / 10 for n in want]) >= 0.9
+    assert got[150] == set(range(100, 110))
+
+
 def test_neighbours_of_odd_vectors(spark):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(60)]
     odd = [(100, None), (101, []), (102, [0.0] * 5), (103, [1.0]), (None, [1.0] * 5), (104, [1.0, None, 0.0, 0.0, 0.0]), (0, rows[0][1]), (105, rows[0][1])]
-    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as id", "2 as curve")
-    got = A.nearest(df, k=3).collect()
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as id", "2 as curve", "3 as run", "4 as part", "5 as v")
+    got = A.nearest(df, k=3, query_every=1).collect()
     assert {x.vec_id for x in got} == set(range(60)) | {104, 105}
     assert all(x.vec_id != x.neighbour for x in got) and len({(x.vec_id, x.neighbour) for x in got}) == len(got)
     assert any(x.vec_id == 105 and x.neighbour == 0 and x.place == 1 for x in got)
+    assert {x.vec_id for x in A.nearest(df, k=3).collect()} == {0, 50}
     assert A.nearest(df.limit(0)).count() == 0 and A.nearest(df.where("vec_id = 1")).count() == 0
 
 
