@@ -140,26 +140,50 @@ def _slot(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(ID_BITS)) + 1
 
 
+def _bits(values: DataFrame) -> DataFrame:
+    """(bucket, bits) of a column ``s`` of integers: rows of 4 KB."""
+    return durable(values.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")))
+
+
 def id_bitmap(ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """A set of ids as bits: at most ``ID_BITS`` / 8 bytes (8 MB) in rows of 4 KB, however many ids there are."""
-    slots = ids.select(_slot(column).alias("s"))
-    return durable(slots.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")))
+    return _bits(ids.select(_slot(column).alias("s")))
 
 
-def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str, mark: str) -> DataFrame:
-    """``rows`` with a column ``mark``: false only where the id isn't in the set, so that few others need a shuffle."""
+def _looked_up(rows: DataFrame, bitmap: DataFrame, value: Column, mark: str) -> DataFrame:
     bucket, bits = unused([*rows.columns, mark], "bucket", "bits")
-    at = F.bitmap_bit_position(_slot(column))
+    at = F.bitmap_bit_position(value)
     byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False))
     few = bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
-    joined = rows.join(F.broadcast(few), F.bitmap_bucket_number(_slot(column)) == F.col(bucket), "left")  # 8 MB at most
-    return joined.withColumn(mark, bit & F.col(column).isNotNull()).drop(bucket, bits)
+    joined = rows.join(F.broadcast(few), F.bitmap_bucket_number(value) == F.col(bucket), "left")  # 8 MB at most
+    return joined.withColumn(mark, bit & value.isNotNull()).drop(bucket, bits)
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str, mark: str) -> DataFrame:
+    """``rows`` with a column ``mark``: false only where the id isn't in the set, so that few others need a shuffle."""
+    return _looked_up(rows, bitmap, F.when(F.col(column).isNotNull(), _slot(column)), mark)
 
 
 def without_ids(rows: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFrame:
-    """``rows`` whose id isn't in ``gone``; only those that may be in it are shuffled.  Null ids stay."""
+    """``rows`` whose id isn't in ``gone``.  Null ids stay.
+
+    Integers that lie close enough together to be marked exactly in 8 MB are, and
+    nothing is shuffled; else only rows whose id may be in ``gone`` are.
+    """
     mark = unused(rows.columns, "maybe")[0]
+    if dict(rows.dtypes)[column] in ("bigint", "int", "smallint", "tinyint"):
+        ids = gone.select(F.col(column).cast("bigint").alias("s"))
+        if ids.select(F.bitmap_bucket_number("s")).distinct().count() <= ID_BITS >> 15:
+            return _looked_up(rows, _bits(ids), F.col(column).cast("bigint"), mark).where(~F.col(mark)).drop(mark)
     marked = maybe_in(rows, id_bitmap(gone, column), column, mark)
     rest = marked.where(F.col(mark)).join(gone.select(column), column, "left_anti")
     return marked.where(~F.col(mark)).drop(mark).unionByName(rest.drop(mark).select(rows.columns))
+
+
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, to be broadcast if it has ``BROADCAST_ROWS`` (some 20 MB) at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, id_bitmap, mapped, maybe_in, without_ids
+from ._common import durable, id_bitmap, mapped, maybe_in, small, without_ids
 
 PRIME = 4611686018427387847  # the largest prime below 2**62
 BASE = 256
@@ -124,7 +124,7 @@ def duplicates(docs: DataFrame, chunk: int = CHUNK, huge: int = HUGE, prints: Da
     members = durable(_candidates(docs, prints))
     pieces = (
         maybe_in(docs.select("doc_id", F.col("text").cast("binary").alias("_t")), id_bitmap(members), "doc_id", "maybe").where("maybe")
-        .join(members.select("doc_id", "len", "fp"), "doc_id")
+        .join(small(members.select("doc_id", "len", "fp")), "doc_id")
         .where(F.octet_length("_t") == F.col("len"))
         .select("len", "fp", F.explode(F.expr(f"sequence(0L, greatest(octet_length(_t) - 1, 0) div {chunk})")).alias("no"), "_t")
         .select("len", "fp", "no", F.substring("_t", (F.col("no") * chunk + 1).cast("int"), F.lit(chunk)).alias("part"))

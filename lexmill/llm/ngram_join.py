@@ -52,7 +52,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_sizes, durable, give_back, id_bitmap, mapped, maybe_in, row_slices, stored, without_ids
+from ._common import byte_sizes, durable, give_back, id_bitmap, mapped, maybe_in, row_slices, small, stored, without_ids
 from ._text import mix, ngrams, per_row, words
 
 N = 2
@@ -224,7 +224,7 @@ class _Packer:
         self.docs = self.grams = 0
 
     def add(self, ids: np.ndarray, g: np.ndarray, splits: np.ndarray, ball: np.ndarray, step: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of sets; ``ball``: the leader's id or -1, ``step``: the distance from it."""
+        """Rows of sets; ``step``: the distance from the leader ``ball``, -1 for none."""
         size = np.diff(splits)
         row = per_row(g, splits)
         quarters = np.zeros((len(size), 4), np.int64)
@@ -233,7 +233,7 @@ class _Packer:
         p_row, place, p_g = _prefixes(g, splits, self.hot, self.rank, self.threshold)
         if len(self.split):
             p_row, place, p_g = self._spread(ids, p_row, place, p_g)
-        self.held.append((ids, size, packed, _signatures(g, splits), ball, step, p_row + self.docs, place, p_g))
+        self.held.append((ids, size, packed, ball, step, p_row + self.docs, place, p_g))
         self.docs += len(ids)
         self.grams += len(p_g)
         if self.grams >= PACK_ROWS:
@@ -250,16 +250,8 @@ class _Packer:
         return row[every], place[every], np.where(w[every] > 1, mix(g[every] + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), g[every])
 
     def pack(self) -> pa.RecordBatch:
-        ids, size, quarters, sig, ball, step, row, place, g = (np.concatenate(x) for x in zip(*self.held))
+        ids, size, quarters, ball, step, row, place, g = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.docs, self.grams = [], 0, 0
-        # of equal sets only the lowest id goes on
-        order = np.lexsort((ids, size, sig))
-        first = np.ones(len(order), bool)
-        first[1:] = (sig[order][1:] != sig[order][:-1]) | (size[order][1:] != size[order][:-1])
-        keep = np.zeros(len(ids), bool)
-        keep[order[first]] = True
-        keep = keep[row]
-        row, place, g = row[keep], place[keep], g[keep]
         g48 = g >> np.uint64(16)
         order = np.argsort(g48)
         row, place, g48 = row[order], place[order], g48[order]
@@ -271,9 +263,10 @@ class _Packer:
             docs = np.unique(row[a:b])
             local[docs] = np.arange(len(docs), dtype=np.uint32)
             gap = np.diff(g48[a:b], prepend=np.uint64(0))
+            led = np.flatnonzero(step[docs] >= 0)
             blobs.append(b"".join((
-                np.array([len(docs), b - a], np.int64).tobytes(), _planes(ids[docs].astype(np.int64)), _planes(size[docs].astype(np.uint32)), _planes(quarters[docs]), _planes(sig[docs]),
-                _planes(ball[docs].astype(np.int64)), _planes(step[docs].astype(np.uint16)), _planes(gap), _planes(local[row[a:b]]), _planes(place[a:b].astype(np.uint32)),
+                np.array([len(docs), b - a, len(led)], np.int64).tobytes(), _planes(ids[docs].astype(np.int64)), _planes(size[docs].astype(np.uint32)), _planes(quarters[docs]),
+                _planes(led.astype(np.uint32)), _planes(ball[docs[led]].astype(np.int64)), _planes(step[docs[led]].astype(np.uint16)), _planes(gap), _planes(local[row[a:b]]), _planes(place[a:b].astype(np.uint32)),
             )))
             names.append(int(which[a]))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.large_binary() if sum(map(len, blobs)) > 1 << 30 else pa.binary())], names=["part", "block"])
@@ -287,7 +280,7 @@ def _alone(n: int, *packing):
         for part in _parts(batches):
             if part.num_rows:
                 g, splits = _sets(part.column("text"), n)
-                yield from packer.add(part.column("doc_id").to_numpy(), g, splits, np.full(part.num_rows, -1), np.zeros(part.num_rows, np.int64))
+                yield from packer.add(part.column("doc_id").to_numpy(), g, splits, np.zeros(part.num_rows, np.int64), np.full(part.num_rows, -1))
         if packer.held:
             yield packer.pack()
 
@@ -319,7 +312,7 @@ def _led(n: int, threshold: float, *packing):
             g, splits = _sets(part.column("text"), n)
             ids = part.column("doc_id").to_numpy()
             lead, salt, is_leader = (part.column(c).to_pylist() for c in ("lead", "salt", "is_leader"))
-            ball, step = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+            ball, step = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
             for i in range(len(ids)):
                 own = g[splits[i] : splits[i + 1]]
                 if lead[i] is None:
@@ -344,13 +337,15 @@ def _led(n: int, threshold: float, *packing):
 
 
 def _unpack(blob) -> tuple[np.ndarray, ...]:
-    docs, rows = np.frombuffer(blob, np.int64, 2)
-    out, at = [], 16
-    for count, kind in ((docs, np.int64), (docs, np.uint32), (docs, np.uint32), (docs, np.uint64), (docs, np.int64), (docs, np.uint16), (rows, np.uint64), (rows, np.uint32), (rows, np.uint32)):
+    docs, rows, led = np.frombuffer(blob, np.int64, 3)
+    out, at = [], 24
+    for count, kind in ((docs, np.int64), (docs, np.uint32), (docs, np.uint32), (led, np.uint32), (led, np.int64), (led, np.uint16), (rows, np.uint64), (rows, np.uint32), (rows, np.uint32)):
         x, at = _unplanes(blob, at, count, kind)
         out.append(x)
-    ids, size, quarters, sig, ball, step, gap, local, place = out
-    return ids, size.astype(np.int64), quarters, sig, ball, step.astype(np.int64), np.cumsum(gap), local.astype(np.int64), place.astype(np.int64)
+    ids, size, quarters, which, leader, far, gap, local, place = out
+    ball, step = np.zeros(docs, np.int64), np.full(docs, -1)
+    ball[which], step[which] = leader, far
+    return ids, size.astype(np.int64), quarters, ball, step, np.cumsum(gap), local.astype(np.int64), place.astype(np.int64)
 
 
 def _pairs(first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -368,9 +363,9 @@ def candidates_of(blobs: list, threshold: float, shared: int = SHARED) -> tuple[
     """(lower id, higher id, shared grams, shared grams needed in all ranges) of the pairs that pass the filters within one range."""
     parts = [_unpack(b) for b in blobs]
     base = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
-    ids, size, quarters, sig, ball, step = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    g, place = (np.concatenate([p[i] for p in parts]) for i in (6, 8))
-    doc = np.concatenate([p[7] + o for p, o in zip(parts, base)])
+    ids, size, quarters, ball, step = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    g, place = (np.concatenate([p[i] for p in parts]) for i in (5, 7))
+    doc = np.concatenate([p[6] + o for p, o in zip(parts, base)])
     del parts
     # grams held once have no partner
     t = np.argsort(g)
@@ -380,15 +375,9 @@ def candidates_of(blobs: list, threshold: float, shared: int = SHARED) -> tuple[
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16)
     if not len(t):
         return none
-    # of equal sets only the lowest id, which is the one that may be in a ball
-    t = t[np.lexsort((ids[doc[t]], sig[doc[t]], g[t]))]
-    d = doc[t]
-    again = np.zeros(len(t), bool)
-    again[1:] = (g[t][1:] == g[t][:-1]) & (sig[d][1:] == sig[d][:-1]) & (size[d][1:] == size[d][:-1])
-    t = t[~again]
     d = doc[t]
     # within a gram: balls, by distance in each; then the others by size
-    in_ball = ball[d] >= 0
+    in_ball = step[d] >= 0
     t = t[np.lexsort((np.where(in_ball, step[d], size[d]), np.where(in_ball, ball[d], np.iinfo(np.int64).max), g[t]))]
     d = doc[t]
     gt, st, pt, qt, it, bt, dt = g[t], size[d], place[t], quarters[d], ids[d], ball[d], step[d]
@@ -398,7 +387,7 @@ def candidates_of(blobs: list, threshold: float, shared: int = SHARED) -> tuple[
     new[1:] = gt[1:] != gt[:-1]
     gram = np.cumsum(new) - 1
     ends = np.append(np.flatnonzero(new)[1:], n)
-    lone = bt < 0
+    lone = dt < 0
     lones = np.flatnonzero(lone)
     starts_lone = ends - np.bincount(gram[lones], minlength=len(ends))  # where the others begin in each gram
     by_size = (gram[lones] << 32) | st[lones]
@@ -511,7 +500,7 @@ def candidate_pairs(docs: DataFrame, scanned: DataFrame, sets: DataFrame, n: int
         routes = durable(members.unionByName(leaders))
         marked = maybe_in(docs, id_bitmap(routes), "doc_id", "maybe")
         alone = mapped(marked.where("not maybe").select("doc_id", "text"), _alone(n, threshold, *packing), "part bigint, block binary")
-        sent = marked.where("maybe").select("doc_id", "text").join(routes, "doc_id", "left").withColumn("is_leader", F.coalesce("is_leader", F.lit(False)))
+        sent = marked.where("maybe").select("doc_id", "text").join(small(routes), "doc_id", "left").withColumn("is_leader", F.coalesce("is_leader", F.lit(False)))
         sent = sent.repartition(F.coalesce("lead", "doc_id"), "salt").sortWithinPartitions("lead", "salt", F.desc("is_leader"))
         blocks = alone.unionByName(mapped(sent, _led(n, threshold, *packing), "part bigint, block binary"))
     met = blocks.groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint, c smallint, q smallint, step smallint")
@@ -561,10 +550,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
     crowded = placed.groupBy("g").agg(ways.alias("k")).where("k > 1")
     keyed = placed.join(crowded, "g", "left").select(
         "g", *(F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.col("k"))).cast("bigint").alias(f"g{c}") for c in ("a", "b")), "a", "b")
-    needed = keyed.select("g", "ga", "gb", F.col("a").alias("doc_id")).unionByName(keyed.select("g", "ga", "gb", F.col("b").alias("doc_id"))).distinct()
+    needed = durable(keyed.select("g", "ga", "gb", F.col("a").alias("doc_id")).unionByName(keyed.select("g", "ga", "gb", F.col("b").alias("doc_id"))).distinct())
     ids = placed.select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = maybe_in(docs.where("text is not null"), id_bitmap(ids), "doc_id", "maybe").where("maybe").drop("maybe")
-    texts = wanted.join(needed, "doc_id").select("g", "ga", "gb", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    texts = wanted.join(small(needed), "doc_id").select("g", "ga", "gb", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
     met = texts.unionByName(keyed.withColumn("text", F.lit(None).cast("string"))).repartition("g", "ga", "gb").sortWithinPartitions("g", "ga", "gb", F.col("b").isNotNull())
     return mapped(met, _verify(n, threshold), "a bigint, b bigint")
 
@@ -582,14 +571,16 @@ def _counted(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[Dat
     return counted, members.join(own, "a", "left_anti").select("a", "b")
 
 
-def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, sig) of all documents, (doc_id, sig, copies) of their sets, (a, b) of verified pairs, and (a, b, step) of the members ``b`` of balls."""
+def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, ...]:
+    """(doc_id, sig) of all documents, (doc_id, sig, copies) of their sets, (a, b) of verified pairs, (a, b, step) of the members ``b`` of balls, (doc_id) of later copies of sets."""
     docs, scanned = _prepared(docs, n)
     units = scanned.where("doc_id is not null").select("doc_id", "sig", "size", *(f"k{i}" for i in range(KEYS))).dropDuplicates(["doc_id"])
     sets = stored(units.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))), "sets")
+    later = durable(units.join(sets.where("copies > 1").select("sig", F.col("doc_id").alias("first")), "sig").where("doc_id <> first").select("doc_id"))
+    docs = without_ids(docs, later)
     found = candidate_pairs(docs, scanned, sets, n, threshold)
     edges = durable(_verified(docs, found.where("step is null").select("a", "b"), n, threshold))
-    return units.select("doc_id", "sig"), sets.select("doc_id", "sig", "copies"), edges, found.where("step is not null")
+    return units.select("doc_id", "sig"), sets.select("doc_id", "sig", "copies"), edges, found.where("step is not null"), later
 
 
 def _groups_of(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -598,7 +589,7 @@ def _groups_of(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, links) of all documents with a partner, as the module describes them."""
-    units, sets, edges, members = _linked(docs, n, threshold)
+    units, sets, edges, members, _ = _linked(docs, n, threshold)
     parts, linked = [], edges
     if not members.isEmpty():
         counted, more = _counted(members, sets, threshold)
@@ -647,9 +638,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 
     Rows that share a ``doc_id`` stay or go together.
     """
-    units, sets, edges, members = _linked(docs, n, threshold)
-    copies = units.join(sets.where("copies > 1").select("sig", F.col("doc_id").alias("first")), "sig").where("doc_id <> first").select("doc_id")
-    return without_ids(docs, durable(copies.unionByName(_groups_of(edges, members).select("doc_id"))))
+    _, _, edges, members, later = _linked(docs, n, threshold)
+    return without_ids(docs, durable(later.unionByName(_groups_of(edges, members).select("doc_id"))))
 
 
 SQL = f"""

@@ -218,3 +218,15 @@ def test_near_duplicates_are_dropped(docs_of):
     assert got.columns == docs.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect()) == [-1, 1, 3, 4, 5]
     assert J.similar(docs.limit(0)).count() == 0 and J.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_ids_far_apart(docs_of, monkeypatch):
+    from lexmill.llm import _common as C
+
+    monkeypatch.setattr(C, "ID_BITS", 1 << 16)
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 2)
+    rows = [(d * 10**15 - 5, t) for d, t in corpus(6, 80)]
+    want = brute(rows, J.THRESHOLD)
+    assert found(docs_of(rows)) == want
+    assert {r.doc_id for r in J.drop_near_duplicates(docs_of(rows)).collect()} == {d for d, _ in rows} - {d for d, c, _ in want if d != c}
+    assert {r.doc_id for r in E.drop_duplicates(docs_of(rows)).collect()} == set({t: d for d, t in reversed(rows)}.values())
