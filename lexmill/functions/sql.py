@@ -4,7 +4,7 @@ from .text import NUMVAL, STOPWORDS
 
 WORDS = "list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)"
 SQUEEZE = "trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
-SNIPPET = "(CASE WHEN length({s}) > 240 THEN rtrim(left({s}, 239)) || '…' ELSE {s} END)"
+SNIPPET = "(CASE WHEN length({s}) > 240 THEN left({s}, 239) || '…' ELSE {s} END)"
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 NORM_KEY = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '' AND w NOT IN (" + STOP + "))[1:8], ' ')"
 

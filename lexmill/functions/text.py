@@ -39,7 +39,7 @@ def squeeze(text: Column) -> Column:
 def snippet(text: Column, most: int = 240) -> Column:
     """White space collapsed; longer texts cut, with an ellipsis as last character."""
     flat = squeeze(F.coalesce(text, F.lit("")))
-    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.left(flat, F.lit(most - 1))), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 1)), F.lit("…"))).otherwise(flat)
 
 
 def norm_key(text: Column) -> Column:

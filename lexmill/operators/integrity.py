@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOOL, KEYVAL, contains_any, norm_key, norm_value, snippet
+from .spread import spread
 
 MOST_ISSUES = 50
 MOST_CHUNKS = 1200
@@ -36,7 +37,7 @@ NO_RISK = "No major risks were found; repeat the scan after changes."
 
 def claims(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, claim_key, claim_value) distinct per document: what is said to be what, and what must or should be."""
-    body = chunks.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
+    body = spread(chunks.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")))
     # each text is searched once per pattern; a match is then taken apart by itself
     pairs = body.select(key, F.explode(F.regexp_extract_all("t", F.lit(KEYVAL), F.lit(0))).alias("m"))
     stated = pairs.select(key, norm_key(F.regexp_extract("m", KEYVAL, 1)).alias("claim_key"), norm_value(F.trim(F.regexp_extract("m", KEYVAL, 2))).alias("claim_value"))

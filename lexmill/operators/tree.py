@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_title, local_summary
+from ..functions.text import first_title, local_summary, tokens
 
 LEAST_ENTRIES = 3
 _DASH = r"\s*[:.–—-]\s*"
@@ -172,12 +172,15 @@ def extract(nodes: DataFrame, pages: DataFrame, selection: DataFrame) -> DataFra
 
 
 def select_nodes(nodes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, doc_id, node_id, sel_ord): the default navigator, by words shared with title and summary."""
-    from .hybrid import overlap
+    """(query_id, doc_id, node_id, sel_ord): the default navigator, by words shared with title and summary.
 
-    scored = nodes.crossJoin(F.broadcast(queries.limit(10_000))).withColumn("s", overlap(F.col("query"), F.concat_ws(" ", "title", "summary")))  # a bounded table of questions
+    Nodes that share no word with a question aren't picked for it.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("w"))
+    said = nodes.select("doc_id", "node_id", "ord", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "title", "summary")))).alias("w"))
+    shared = asked.join(said, "w").groupBy("query_id", "doc_id", "node_id", "ord").agg(F.count("*").alias("s"))
     order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("s"), "ord")
-    return scored.withColumn("sel_ord", F.row_number().over(order)).where(F.col("sel_ord") <= k).select("query_id", "doc_id", "node_id", "sel_ord")
+    return shared.withColumn("sel_ord", F.row_number().over(order)).where(F.col("sel_ord") <= k).select("query_id", "doc_id", "node_id", "sel_ord")
 
 
 def outline(nodes: DataFrame) -> DataFrame:

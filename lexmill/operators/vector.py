@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.25
-MOST_QUERIES = 20_000
+QUERIES_AT_ONCE = 20_000
 BLOCK = 2048
 
 
@@ -19,7 +19,7 @@ def _unit(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
         return np.zeros((0, 0))
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(len(column), -1)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1.0)
 
@@ -27,14 +27,28 @@ def _unit(column: pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """(query_key, key, score, place): the ``k`` most similar vectors of each query, those under ``threshold`` dropped afterwards.
 
-    Queries travel to the vectors: each partition answers all of them with
-    matrix products and passes on its own best only.  Filter ``vectors`` first
-    to search within them.
+    Queries travel to the vectors, ``QUERIES_AT_ONCE`` or so in a pass: each partition
+    answers all of them with matrix products and passes on its own best only.
+    Filter ``vectors`` first to search within them.  Null components count as 0;
+    only vectors of the queries' commonest length are compared.
     """
-    asked = queries.select(F.col(query_key).cast("bigint").alias("q"), F.col(query_vector).alias("v")).where("v is not null").limit(MOST_QUERIES + 1).toArrow()
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    names, q = asked["q"].to_numpy(), _unit(asked["v"])
+    asked = queries.select(F.col(query_key).cast("bigint").alias("q"), F.col(query_vector).alias("v")).where("v is not null")
+    widths = asked.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width, passes = (widths["w"], -(-widths["count"] // QUERIES_AT_ONCE)) if widths else (0, 1)
+    asked = asked.where(F.size("v") == width)
+    held = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").where(F.size("v") == width)
+    best = None
+    for i in range(passes):
+        block = (asked if passes == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i)).toArrow()
+        found = held.mapInArrow(_answer(block["q"].to_numpy(), _unit(block["v"]), k), "q bigint, id bigint, cos double")
+        best = found if best is None else best.unionByName(found)
+    order = Window.partitionBy("q").orderBy(F.desc("cos"), "id")
+    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return best.select(F.col("q").alias(query_key), F.col("id").alias(key), F.bround((1 + F.col("cos")) / 2, 4).alias("score"), "place").where(F.col("score") >= threshold)
+
+
+def _answer(names: np.ndarray, q: np.ndarray, k: int):
+    """The ``k`` best of each block of vectors for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,10 +62,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float
                 row = np.repeat(np.arange(len(q)), order.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[order.reshape(-1)]), pa.array(cos[row, order.reshape(-1)])], names=["q", "id", "cos"])
 
-    held = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    order = Window.partitionBy("q").orderBy(F.desc("cos"), "id")
-    best = held.mapInArrow(run, "q bigint, id bigint, cos double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return best.select(F.col("q").alias(query_key), F.col("id").alias(key), F.bround((1 + F.col("cos")) / 2, 4).alias("score"), "place").where(F.col("score") >= threshold)
+    return run
 
 
 def similar_pairs(vectors: DataFrame, cosine: float, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:

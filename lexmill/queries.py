@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import sql as S
 from .functions import text as X
 from .operators import analytics, bm25, chunking, evaluation, hybrid, integrity, memory, router, sampling, tree, vector
+from .operators.spread import spread
 from .plans import retrieval
 from .streaming import ingest as streaming
 
@@ -40,9 +41,9 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the vector of their number."""
+    """All documents, with the vector of their number where there is one."""
     vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return _table(spark, d, "documents").join(vectors, "doc_id")
+    return _table(spark, d, "documents").join(vectors, "doc_id", "left")
 
 
 # words
@@ -52,7 +53,8 @@ w AS (SELECT doc_id, {S.words("coalesce(text, '')")} AS w FROM {{docs}}),
 posted AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY doc_id, term),
 n AS (SELECT count(*) AS n, sum(len(w)) * 1.0::DOUBLE / count(*) AS avgdl FROM w),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posted, n GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+low AS (SELECT 0.25 * avg(raw) AS low FROM raw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM raw, low)"""
 
 
 def _bm25(docs: str) -> str:
@@ -74,7 +76,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_bm25('documents')} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf_table(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
-    return bm25.term_statistics(docs, bm25.postings(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_statistics(spread(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 # vectors
@@ -115,8 +117,8 @@ def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
 # hybrid
 
 def _hybrid(where: str = "true") -> str:
-    near = _knn("(SELECT doc_id AS id, lang, embedding AS v FROM chunks)", "questions", 10, 0.25, where)
-    return f"""WITH questions AS {_ASKED}, chunks AS (SELECT d.*, embedding FROM documents d JOIN embeddings ON doc_id = vec_id), {_bm25("chunks")}, {_BM25_HITS},
+    near = _knn("(SELECT doc_id AS id, lang, embedding AS v FROM chunks WHERE embedding IS NOT NULL)", "questions", 10, 0.25, where)
+    return f"""WITH questions AS {_ASKED}, chunks AS (SELECT d.*, embedding FROM documents d LEFT JOIN embeddings ON doc_id = vec_id), {_bm25("chunks")}, {_BM25_HITS},
 vector_hits AS (SELECT query_id, id AS doc_id, score, place FROM ({near})),
 both_ AS (SELECT query_id, doc_id, 0 AS list, 'vector' AS kind, place, 0.7::DOUBLE / (60 + place) AS part FROM vector_hits UNION ALL SELECT query_id, doc_id, 1, 'bm25', place, 0.3::DOUBLE / (60 + place) FROM word_hits),
 merged AS (SELECT query_id, left(coalesce(text, ''), 100) AS k, round(sum(part), 9) AS rrf_score, array_to_string(list_sort(list_distinct(list(kind))), '+') AS search_type, min(list * 1000 + place) AS first, arg_min(doc_id, list * 1000 + place) AS doc_id FROM both_ JOIN chunks USING (doc_id) GROUP BY 1, 2),
