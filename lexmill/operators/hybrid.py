@@ -19,9 +19,15 @@ def fuse(vector_hits: DataFrame, word_hits: DataFrame, k: int = 10, query_key: s
     and add up; its row is the vector list's, else the first.  Ties keep the
     vector list's order, then the other's.
     """
-    lists = [(vector_hits, "vector", VECTOR_WEIGHT, 0), (word_hits, "bm25", WORD_WEIGHT, 1)]
-    rows = [h.select(query_key, key, text, F.lit(name).alias("kind"), F.lit(n).alias("list"), "place", (F.lit(w) / (RRF_K + F.col("place"))).alias("part")) for h, name, w, n in lists]
-    both = rows[0].unionByName(rows[1])
+    rows = [h.select(query_key, key, text, "place", F.lit(near).alias("near")) for h, near in ((vector_hits, True), (word_hits, False))]
+    return fuse_lists(rows[0].unionByName(rows[1]), k, query_key, key, text)
+
+
+def fuse_lists(hits: DataFrame, k: int = 10, query_key: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`fuse`, of both lists in one table (query_key, key, text, place, near), ``near`` where a hit is of the vector list."""
+    weight = F.when(F.col("near"), VECTOR_WEIGHT).otherwise(WORD_WEIGHT)
+    both = hits.select(
+        query_key, key, text, "place", F.when(F.col("near"), "vector").otherwise("bm25").alias("kind"), F.when(F.col("near"), 0).otherwise(1).alias("list"), (weight / (RRF_K + F.col("place"))).alias("part"))
     merged = both.groupBy(query_key, F.left(text, F.lit(KEY_LENGTH)).alias("_key")).agg(
         F.round(F.sum("part"), 9).alias("rrf_score"), F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("search_type"), F.min(F.struct("list", "place", key)).alias("first"))
     order = Window.partitionBy(query_key).orderBy(F.desc("rrf_score"), "first.list", "first.place")

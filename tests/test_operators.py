@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import agent, analytics, bm25, chunking, compliance, evaluation, hybrid, integrity, memory, router, sampling, tree, vector
+from lexmill.plans import retrieval
 
 
 def one(spark, value, expression):
@@ -42,6 +43,19 @@ def test_bm25_moves_no_postings(spark, monkeypatch):
     assert "Join" not in plan and "Generate" not in plan
 
 
+def test_hybrid_search_shuffles_no_texts(spark):
+    docs = spark.createDataFrame([(d, f"text about w{d % 4} and w{d % 3} " + "x" * d, "en" if d % 2 else "de", "s") for d in range(40)], "doc_id bigint, text string, lang string, source string")
+    vectors = spark.createDataFrame([(d, [float(d % 5 + 1), float(d % 7)]) for d in range(0, 60, 2)], "doc_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(q, f"w{q} text", [1.0, float(q)]) for q in range(4)], "query_id bigint, query string, query_vector array<float>")
+    for language in (None, "de"):
+        apart = retrieval.hybrid_search(docs, queries, language=language, vectors=vectors)
+        together = retrieval.hybrid_search(docs.join(vectors, "doc_id", "left"), queries, language=language)
+        assert sorted(apart.collect()) == sorted(together.collect()) and apart.count() == 40
+    plan = retrieval.hybrid_search(docs, queries, vectors=vectors)._jdf.queryExecution().executedPlan().toString()
+    # the only sorted join is that of ids with vectors
+    assert plan.count("SortMergeJoin") <= 1 and "BroadcastHashJoin" in plan
+
+
 def test_rerank_leaves_short_lists_alone(spark):
     rows = [(1, d, "red fox", "red fox" if d == 6 else "x", d) for d in range(1, 7)] + [(2, d, "red", "red", d) for d in range(1, 4)]
     got = hybrid.rerank(spark.createDataFrame(rows, "query_id int, doc_id int, query string, text string, place int"), 5).collect()
