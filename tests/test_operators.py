@@ -56,6 +56,14 @@ def test_hybrid_search_shuffles_no_texts(spark):
     assert plan.count("SortMergeJoin") <= 1 and "BroadcastHashJoin" in plan
 
 
+@pytest.mark.parametrize("name", ["eval_summary"])
+def test_common_words_meet_no_join_in_evaluation(spark, tables, name):
+    from lexmill import queries as library
+
+    plan = library.queries()[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "term" not in plan
+
+
 def test_rerank_leaves_short_lists_alone(spark):
     rows = [(1, d, "red fox", "red fox" if d == 6 else "x", d) for d in range(1, 7)] + [(2, d, "red", "red", d) for d in range(1, 4)]
     got = hybrid.rerank(spark.createDataFrame(rows, "query_id int, doc_id int, query string, text string, place int"), 5).collect()
