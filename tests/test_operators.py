@@ -56,7 +56,7 @@ def test_hybrid_search_shuffles_no_texts(spark):
     assert plan.count("SortMergeJoin") <= 1 and "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("name", ["eval_summary"])
+@pytest.mark.parametrize("name", ["eval_summary", "eval_metrics"])
 def test_common_words_meet_no_join_in_evaluation(spark, tables, name):
     from lexmill import queries as library
 
