@@ -282,3 +282,17 @@ def test_tree_queries(spark):
     got = {(r.query_id, r.doc_id): (r.node_id, r.pages) for r in tree.query(nodes, pages, queries, 1).collect()}
     assert got == {(1, "d"): ("0002", [2]), (1, "e"): ("0002", [2]), (2, "d"): ("0003", [3]), (2, "e"): ("0003", [3])}
     assert tree.raw_view(pages).count() == 2 and tree.node_view(nodes, pages).count() == 6 and tree.page_view(pages).first().char_count > 0
+
+
+def test_claims_search_each_text_once(spark):
+    texts = ["The retry limit is 5 times. It is x.y", "is: a\n\n= b", "A value are  .\nkey : v", "this that - other/x =\t\n must not be. Must be: ok", "Timeout must not exceed. Limits should\tbe 3.5 ms", "abc is.abc is d", "x" * 70 + " is y", "Queue SHOULD NOT grow; cache IS warm", "aaa is bbb is ccc. " * 3, "é is ü: caché = né", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    found = lambda p: body.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(p), F.lit(0))).alias("m"))
+    stated = found(X.KEYVAL).select("doc_id", X.norm_key(F.regexp_extract("m", X.KEYVAL, 1)).alias("k"), X.norm_value(F.trim(F.regexp_extract("m", X.KEYVAL, 2))))
+    ruled = found(X.BOOL).select("doc_id", X.norm_key(F.regexp_extract("m", X.BOOL, 1)).alias("k"), F.replace(F.lower(F.regexp_extract("m", X.BOOL, 2)), F.lit(" "), F.lit("_")))
+    got = integrity.claims(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stated.union(ruled).where("k <> ''").distinct().collect()))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Scan ")
+    assert scans(integrity.claims(docs)) == 1
+    assert scans(integrity.recommendations(integrity.issues(docs.withColumn("source", F.lit("s"))))) == 2
