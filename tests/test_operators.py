@@ -296,3 +296,13 @@ def test_claims_search_each_text_once(spark):
     scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Scan ")
     assert scans(integrity.claims(docs)) == 1
     assert scans(integrity.recommendations(integrity.issues(docs.withColumn("source", F.lit("s"))))) == 2
+
+
+def test_fingerprints_pass_on_ten_texts_a_file(spark):
+    docs = spark.createDataFrame([(d, f"f{d % 2}", f"text {d}") for d in range(50)], "doc_id int, source string, text string")
+    got = integrity.fingerprints(docs)
+    body = "\n".join(f"text {d}" for d in range(0, 20, 2))
+    import hashlib
+
+    assert {r.file: r.fingerprint for r in got.collect()}["f0"] == hashlib.sha256(f"f0|25|{body}".encode()).hexdigest()
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
