@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped
+
 CHUNK, OVERLAP, LEAST = 512, 64, 10
+OUT_CHARS = 2 << 20
 _JS = "class const export function import let var"
 _CLIKE = "char enum int struct void"
 _OO = "class enum interface private protected public"
@@ -95,18 +98,31 @@ def chunks_of(path: str, text: str, language: str, count: Callable[[str], int] =
 
 
 def chunk(docs: DataFrame, count: Callable[[str], int] = approximate_tokens, **sizes) -> DataFrame:
-    """Chunks of (content, filepath, language); blank documents have none."""
+    """Chunks of (content, filepath, language); blank documents have none.
+
+    A worker holds a batch of some megabytes, one text of it as a string, and
+    chunks of ``OUT_CHARS`` characters or so.
+    """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
+    def made_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n.endswith("_line") else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, path, lang in zip(*(b.column(c).to_pylist() for c in ("content", "filepath", "language"))):
-                if text and text.strip():
-                    out += [(i, content, path, lang, lo, hi, kind) for i, content, lo, hi, kind in chunks_of(path or "", text, lang or "text", count, **sizes)]
+            out, held = [], 0
+            for row in range(b.num_rows):
+                text, path, lang = (b.column(c)[row].as_py() for c in ("content", "filepath", "language"))
+                if not text or not text.strip():
+                    continue
+                for i, content, lo, hi, kind in chunks_of(path or "", text, lang or "text", count, **sizes):
+                    out.append((i, content, path, lang, lo, hi, kind))
+                    held += len(content)
+                    if held >= OUT_CHARS:
+                        yield made_of(out)
+                        out, held = [], 0
             if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n.endswith("_line") else pa.string()) for n, c in zip(names, columns)], names=names)
+                yield made_of(out)
 
-    made = docs.select("content", "filepath", "language").mapInArrow(run, SCHEMA)
+    made = mapped(docs.select("content", "filepath", "language"), run, SCHEMA)
     return made.withColumn("source", F.format_string("%s:%d-%d", "document_path", "start_line", "end_line"))

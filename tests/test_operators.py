@@ -306,3 +306,15 @@ def test_fingerprints_pass_on_ten_texts_a_file(spark):
 
     assert {r.file: r.fingerprint for r in got.collect()}["f0"] == hashlib.sha256(f"f0|25|{body}".encode()).hexdigest()
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    text = "\n".join(f"line {i} " + "word " * 30 for i in range(200))
+    docs = spark.createDataFrame([(text, f"p{i}", "en") for i in range(6)] + [(None, "p", "en")], "content string, filepath string, language string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    want = sorted(chunking.chunk(docs).collect())
+    assert len(want) == 6 * len(list(chunking.prose("p", text))) and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    monkeypatch.setattr(chunking, "OUT_CHARS", 1)
+    assert sorted(chunking.chunk(docs).collect()) == want
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
