@@ -318,3 +318,12 @@ def test_chunks_leave_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(chunking, "OUT_CHARS", 1)
     assert sorted(chunking.chunk(docs).collect()) == want
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_health_finds_each_issue_once(spark):
+    docs = spark.createDataFrame([(1, "s", "The retry limit is 5."), (2, "s", "The retry limit is 6. We run Postgres.")], "doc_id int, source string, text string")
+    health = integrity.health(integrity.issues(docs))
+    assert health._jdf.queryExecution().executedPlan().toString().count("Scan ") == 2
+    got = health.first()
+    # of the topics only "timeouts & retries" is named, so four high and three medium ones are missing; a retry mitigates
+    assert (got.n_contradiction, got.n_blind_spot, got.n_resilience_gap, got.penalty) == (1, 7, 0, 12 + 3 * 12 + 4 * 7)
