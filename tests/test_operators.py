@@ -327,3 +327,23 @@ def test_health_finds_each_issue_once(spark):
     got = health.first()
     # of the topics only "timeouts & retries" is named, so four high and three medium ones are missing; a retry mitigates
     assert (got.n_contradiction, got.n_blind_spot, got.n_resilience_gap, got.penalty) == (1, 7, 0, 12 + 3 * 12 + 4 * 7)
+
+
+def test_claims_are_sought_at_verbs_only(spark, tables):
+    parts = ["a", "b", "is", "are", "should be", "must be", "must", "should", "should not", " ", "  ", "\n", "\t", ":", "=", ".", ",", "é", "x1_", "-", "/", "word ", "IS", "Must", "9", "İ", "x" * 30, "y " * 20]
+    draw = random.Random(3)
+    for _ in range(4000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 30)))
+        for verbs, whole in (integrity._CLAIM, integrity._RULE):
+            assert [(m.span(), m.groups()) for m in integrity._matches(text, verbs, whole)] == [(m.span(), m.groups()) for m in whole.finditer(text)], text
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    assert "regexp_extract_all" not in integrity.claims(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_issues_search_spread_texts_for_all_needles(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    plan = integrity.issues(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning") == 2 and "Contains" not in plan and "contains" not in plan
+    texts = spark.createDataFrame([(None,), ("über RETENTION",), ("roll\nback, dr\nplan",), ("",)], "text string")
+    assert [r.topic for r in integrity.blind_spots(texts).collect() if r.covered] == ["backups & restore"]
+    assert not any(r.covered for r in integrity.blind_spots(texts.limit(0)).collect()) and integrity.blind_spots(texts.limit(0)).count() == 8
