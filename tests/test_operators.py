@@ -347,3 +347,10 @@ def test_issues_search_spread_texts_for_all_needles(spark, tables):
     texts = spark.createDataFrame([(None,), ("über RETENTION",), ("roll\nback, dr\nplan",), ("",)], "text string")
     assert [r.topic for r in integrity.blind_spots(texts).collect() if r.covered] == ["backups & restore"]
     assert not any(r.covered for r in integrity.blind_spots(texts.limit(0)).collect()) and integrity.blind_spots(texts.limit(0)).count() == 8
+
+
+def test_health_tries_no_pattern_on_whole_texts(spark, tables):
+    from lexmill import queries as library
+
+    plan = library.queries()["health_score"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "contains(" not in plan.lower() and plan.count("MapInArrow") >= 2
