@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import agent, analytics, bm25, chunking, compliance, evaluation, hybrid, integrity, memory, router, sampling, tree, vector
+from lexmill.operators import spread as spreading
 from lexmill.plans import retrieval
 
 
@@ -43,6 +44,30 @@ def test_bm25_moves_no_postings(spark, monkeypatch):
     assert "Join" not in plan and "Generate" not in plan
 
 
+def test_one_large_row_group_is_spread(spark, tmp_path, monkeypatch):
+    draw = random.Random(1)
+    rows = [(d, f"common own{d % 7} " + " ".join("".join(draw.choices("abcdefgh", k=9)) for _ in range(20))) for d in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs.repartition(8).write.parquet(f"{tmp_path}/eight")
+    one, eight = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("one", "eight"))
+    size = int(str(one._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key, value in zip(before, (size // 16, 0)):
+        spark.conf.set(key, value)
+    # both tables hold more than a row group a core; one's is read by a single task
+    monkeypatch.setattr(spreading, "ROW_GROUP", size // 5)
+    moved = lambda df: "RoundRobinPartitioning" in df._jdf.queryExecution().executedPlan().toString()
+    shorter = lambda df: df.select("doc_id", F.upper("text").alias("t"))
+    assert one.rdd.getNumPartitions() > 8 and moved(spreading.spread(one)) and moved(spreading.spread(shorter(one)))
+    assert not moved(spreading.spread(eight)) and not moved(spreading.spread(shorter(eight)))
+    queries = spark.createDataFrame([(q, f"common own{q}") for q in range(7)], "query_id int, query string")
+    got = [bm25.search(x, queries, 4).orderBy("query_id", "place").collect() for x in (one, eight, docs)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 28
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 def test_hybrid_search_shuffles_no_texts(spark):
     docs = spark.createDataFrame([(d, f"text about w{d % 4} and w{d % 3} " + "x" * d, "en" if d % 2 else "de", "s") for d in range(40)], "doc_id bigint, text string, lang string, source string")
     vectors = spark.createDataFrame([(d, [float(d % 5 + 1), float(d % 7)]) for d in range(0, 60, 2)], "doc_id bigint, embedding array<float>")
