@@ -409,3 +409,28 @@ def test_health_tries_no_pattern_on_whole_texts(spark, tables):
 
     plan = library.queries()["health_score"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "contains(" not in plan.lower() and plan.count("MapInArrow") >= 2
+
+
+def test_needles_are_found_without_lowering_texts(spark):
+    draw = random.Random(5)
+    parts = ["bac", "k", "K", "K", "up", "UP", "s3", "ſ3", "tİmeout", "t", "İ", "meout", "ß", "日", " ", "at", "rest", "\n", "multi", "-", "az", "roll", "Quota", "\x00"]
+    for _ in range(8):
+        texts = spark.createDataFrame([("".join(draw.choices(parts, k=draw.randint(0, 9))),) for _ in range(4)] + [(None,)], "text string")
+        # bytes that are no text hide nothing behind them
+        texts = texts.unionByName(spark.sql("select cast(concat(X'ff', cast(' RBAC' as binary)) as string) as text")).cache()
+        lists = [n for *_, n in integrity.TOPICS] + [integrity.MITIGATIONS]
+        want = texts.agg(*(F.coalesce(F.bool_or(X.contains_any(F.col("text"), n.split("|"))), F.lit(False)) for n in lists)).first()
+        found = integrity._named(integrity._alone(texts, "text"), lists)
+        assert tuple(found.first()) == tuple(want) and want[6]
+        assert "lower(" not in found._jdf.queryExecution().executedPlan().toString()
+        texts.unpersist()
+
+
+def test_claim_keys_are_those_of_the_expression(spark):
+    draw = random.Random(6)
+    keys = ["".join(draw.choices("aBz09_/- ", k=draw.randint(1, 12))) + draw.choice(["", " The", " of a", " in/to be", " a b c d e f g h i j"]) for _ in range(500)]
+    want = spark.createDataFrame([(k,) for k in keys], "t string").select(X.norm_key(F.col("t"))).toArrow().column(0).to_pylist()
+    assert [integrity._norm_key(k) for k in keys] == want
+    docs = spark.createDataFrame([(1, "The is 5. Of the: x. The cache must not grow")], "doc_id int, text string")
+    assert [(r.claim_key, r.claim_value) for r in integrity.claims(docs).collect()] == [("cache", "must_not")]
+    assert "split(" not in integrity.claims(docs)._jdf.queryExecution().executedPlan().toString()
